@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textquarry.llm import bpe_prefix, mixing, secret_scan, simhash_anchors, toxicity
+from textquarry.llm import block_anchors, bpe_prefix, edit_embedding, mixing, rotated_codes, secret_scan, simhash_anchors, toxicity, url_templates, warc_chunks
 
-_MODULES = (simhash_anchors, toxicity, secret_scan, mixing, bpe_prefix)
+_MODULES = (warc_chunks, simhash_anchors, url_templates, toxicity, edit_embedding, secret_scan, mixing, bpe_prefix, rotated_codes, block_anchors)
 
 
 def queries() -> dict:
