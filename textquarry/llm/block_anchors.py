@@ -79,8 +79,22 @@ def _numbers(b: bytes, n: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of signed numbers as small unsigned ones."""
+    d = np.diff(x.astype(np.int64), prepend=0)
+    return ((d << 1) ^ (d >> 63)).view(U64)
+
+
+def _unsteps(x: np.ndarray) -> np.ndarray:
+    d = (x >> U64(1)).view(np.int64) ^ -(x & U64(1)).view(np.int64)
+    return np.cumsum(d)
+
+
 def _pack(bucket: np.ndarray, ids: np.ndarray, pos: np.ndarray, values: list[tuple[np.ndarray, int]]) -> Iterator[tuple]:
-    """Per bucket: ids in runs, differences of positions, planes of the values. Rows must be in order of id, position."""
+    """Per bucket: ids in runs, differences of positions, planes of the values (of 8-byte ones, of their differences).
+
+    Rows should be in order of id and position: then differences are small.
+    """
     order = np.argsort(bucket, kind="stable")
     bucket, ids, pos = bucket[order], ids[order], pos[order]
     values = [(v[order], n) for v, n in values]
@@ -90,15 +104,15 @@ def _pack(bucket: np.ndarray, ids: np.ndarray, pos: np.ndarray, values: list[tup
         new = np.concatenate(([True], (i[1:] != i[:-1]) | (p[1:] <= p[:-1])))
         at = np.flatnonzero(new)
         delta = np.where(new, p, np.diff(p, prepend=0))
-        yield (int(bucket[a]), i[at].astype("<i8").tobytes(), np.diff(at, append=b - a).astype("<u4").tobytes(), _planes(delta, 4), *(_planes(v[a:b], n) for v, n in values))
+        yield (int(bucket[a]), _planes(_steps(i[at]), 8), _planes(np.diff(at, append=b - a), 4), _planes(delta, 4), *(_planes(v[a:b], n) if n < 8 else _planes(_steps(v[a:b]), 8) for v, n in values))
 
 
 def _unpack(ids: bytes, counts: bytes, pos: bytes) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.frombuffer(counts, "<u4")
+    counts = _numbers(counts, 4).astype(np.int64)
     delta = _numbers(pos, 4).astype(np.int64)
     total = np.cumsum(delta)
     first = np.cumsum(counts) - counts
-    return np.repeat(np.frombuffer(ids, "<i8"), counts), total - np.repeat(total[first] - delta[first], counts)
+    return np.repeat(_unsteps(_numbers(ids, 8)), counts), total - np.repeat(total[first] - delta[first], counts)
 
 
 def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -184,7 +198,7 @@ def _id_filter(hits: DataFrame):
         bits = np.zeros(FILTER_BITS, bool)
         for b in batches:
             for ids in b.column(0).to_pylist():
-                bits[_bits(np.frombuffer(ids, "<i8")).ravel()] = True
+                bits[_bits(_unsteps(_numbers(ids, 8))).ravel()] = True
         words = np.packbits(bits, bitorder="little").view("<i4")
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(words[at], pa.int32())], ["at", "word"])
@@ -256,15 +270,15 @@ def _partners(doc_buckets: int):
         ids, pos = ids[again], pos[again]
         order = np.lexsort((pos, ids))
         ids, pos, rid, rpos = (x[order] for x in (ids, pos, rid, rpos))
-        # The partner's position goes as a difference of diagonals, which neighbours share.
-        return pa.Table.from_batches([_rows(list(_pack(_doc_bucket(ids, doc_buckets), ids, pos, [(rid.view(U64), 8), ((rpos - pos).astype(np.int64).view(U64), 8)])), [*_NAMES[:4], "rid", "diag"])])
+        # Neighbours mostly share the partner and the diagonal, whose differences are then 0.
+        return pa.Table.from_batches([_rows(list(_pack(_doc_bucket(ids, doc_buckets), ids, pos, [(rid, 8), (rpos - pos, 8)])), [*_NAMES[:4], "rid", "diag"])])
 
     return run
 
 
 def _maximal(min_words: int):
     def run(t: pa.Table) -> pa.Table:
-        parts = [(*_unpack(a, c, p), _numbers(r, 8).view("<i8"), _numbers(d, 8).view("<i8")) for a, c, p, r, d in zip(*(t.column(x).to_pylist() for x in ("ids", "counts", "pos", "rid", "diag")))]
+        parts = [(*_unpack(a, c, p), _unsteps(_numbers(r, 8)), _unsteps(_numbers(d, 8))) for a, c, p, r, d in zip(*(t.column(x).to_pylist() for x in ("ids", "counts", "pos", "rid", "diag")))]
         ids, pos, rid, diag = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4
         order = np.lexsort((pos, diag, rid, ids))
         ids, pos, rid, diag = ids[order], pos[order], rid[order], diag[order]
