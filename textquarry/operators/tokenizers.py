@@ -378,7 +378,7 @@ class Unigram:
         counts = {r["piece"]: r["n"] for r in found.limit(candidates).collect()} | {r["piece"]: r["n"] for r in found.where(F.length("piece") == 1).collect()}
         for step in range(iterations):
             total = sum(counts.values())
-            model = cls({p: math.log(n / total) for p, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))})
+            model = cls({p: math.log(max(n, 0.5) / total) for p, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))})
             again = words.select(F.explode(_mapped("array<string>", model.segment)(F.col("word"))).alias("piece"), "n").groupBy("piece").agg(F.sum("n").alias("n")).collect()
             new = {r["piece"]: r["n"] for r in again if r["piece"] in counts}
             counts = {p: new.get(p, 0) for p in counts if new.get(p, 0) or len(p) == 1}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textquarry.plans import q_corpus, q_text  # noqa: F401  they register their queries
+from textquarry.plans import q_corpus, q_text, q_tokens  # noqa: F401  they register their queries
 from textquarry.plans.registry import QUERIES, SQL
 
 
