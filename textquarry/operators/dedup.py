@@ -70,20 +70,29 @@ def minhash_pairs(df: DataFrame, threshold: float = 0.85, bands: int = 32, rows:
     """
     t = df.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), word_set(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     h = F.transform("w", lambda w: F.xxhash64(w))
-    mins = [F.array_min(F.transform(F.col("h"), lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(bands * rows)]
+
+    def least(k: int) -> Column:
+        return F.array_min(F.transform(F.col("h"), lambda x: F.xxhash64(x, F.lit(k))))
+
+    mins = [least(k) for k in range(bands * rows)]
     keys = F.array(*(F.xxhash64(F.lit(b), *mins[b * rows : (b + 1) * rows]) for b in range(bands)))
     banded = t.select("id", h.alias("h")).select("id", F.explode(keys).alias("band"))
     near = banded.toDF("a", "band").join(banded.toDF("b", "band"), "band").where("a < b").select("a", "b").distinct()
     return near.join(t.toDF("a", "wa"), "a").join(t.toDF("b", "wb"), "b").select("a", "b", F.round(_jaccard("wa", "wb"), 6).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def drop_similar(df: DataFrame, threshold: float = 0.85, exact_greedy: bool = False, id_col: str = "doc_id", **parameters) -> DataFrame:
+def drop_similar(df: DataFrame, threshold: float = 0.85, exact_greedy: bool = False, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """Without the rows that are similar to one with a smaller id.
 
     ``exact_greedy`` compares with kept rows only, as a stream would: a row stays if all its similar predecessors
     were dropped. Decisions then spread along pairs, round by round, until none changes.
     """
-    pairs = minhash_pairs(df, threshold, id_col=id_col, **parameters).select("a", "b")
+    # Texts of one word set are similar to the same texts: the first stands for them, and the others go.
+    key = F.sha2(F.encode(F.array_join(F.array_sort(word_set(F.col(text_col))), " "), "UTF-8"), 256)
+    sets = df.where(F.size(word_set(F.col(text_col))) > 0).groupBy(key.alias("__key")).agg(F.min(id_col).alias("__first"), F.collect_list(id_col).alias("__ids"))
+    copies = checkpoint(sets.where(F.size("__ids") > 1).select("__first", F.explode("__ids").alias(id_col)).where(F.col(id_col) != F.col("__first")).select(id_col))
+    df = df.join(copies, id_col, "left_anti")
+    pairs = minhash_pairs(df, threshold, id_col=id_col, text_col=text_col, **parameters).select("a", "b")
     if not exact_greedy:
         return df.join(pairs.select(F.col("b").alias(id_col)), id_col, "left_anti")
     pairs, dropped = checkpoint(pairs), None

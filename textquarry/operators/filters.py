@@ -76,7 +76,11 @@ def detect_language(text: Column) -> Column:
     Ties go to the alphabetically first language.
     """
     w = T.words(F.lower(text))
-    scored = [F.struct(F.size(F.filter(w, lambda x, s=s: x.isin(s.split()))).alias("n"), F.lit(lang).alias("lang")) for lang, s in sorted(_STOP.items())]
+
+    def score(lang: str) -> Column:
+        return F.struct(F.size(F.filter(w, lambda x: x.isin(_STOP[lang].split()))).alias("n"), F.lit(lang).alias("lang"))
+
+    scored = [score(lang) for lang in sorted(_STOP)]
     best = F.array_max(F.transform(F.array(*scored), lambda x: x["n"]))
     first = F.element_at(F.filter(F.array(*scored), lambda x: x["n"] == best), 1)["lang"]
     return F.when((F.length(text) < 20) | (best == 0), "unknown").otherwise(first)

@@ -77,7 +77,8 @@ def weighted_sample(df: DataFrame, weights: dict[str, float], n: int, seed: int
         source = F.when(u("s") < edge, name).otherwise(source)
     draws = spark.range(n).select(F.col("id").alias("draw")).select("draw", source.alias(source_col), u("r").alias("__u"))
     rows = df.where(F.col(source_col).isin(list(weights)))
-    numbered = rows.withColumn("__k", F.row_number().over(W.partitionBy(source_col).orderBy(id_col)) - 1)
-    sizes = rows.groupBy(source_col).agg(F.count("*").alias("__n"))
+    placed = with_position(rows, [source_col, id_col], "__p")
+    sizes = placed.groupBy(source_col).agg(F.count("*").alias("__n"), F.min("__p").alias("__start"))
+    numbered = placed.join(F.broadcast(sizes), source_col).withColumn("__k", F.col("__p") - F.col("__start")).drop("__p", "__n", "__start")
     picked = draws.join(F.broadcast(sizes), source_col).select("draw", source_col, F.floor(F.col("__u") * F.col("__n")).alias("__k"))
     return numbered.join(picked, [source_col, "__k"]).drop("__k")

@@ -173,7 +173,7 @@ def _(spark, d):
 def _(spark, d):
     s = ST.read(spark, f"{d}/events.parquet", table(spark, d, "events").schema)
     path, ck = _folder(spark), _folder(spark)
-    counts = ST.windowed_counts(s, "ts", "1 hour", "10 minutes", "event_type").select("event_type", F.col("window.start").alias("start"), "n")
+    counts = ST.windowed_counts(s, "ts", "1 hour", "10 minutes", "event_type").select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
     q = counts.writeStream.outputMode("complete").option("checkpointLocation", ck).foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(path)).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(path)

@@ -11,7 +11,10 @@ from textquarry.operators import dedup as D
 
 
 def read(spark: SparkSession, path: str, schema, kind: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
+    """A stream of the files at a path: a folder, a pattern, or a single file (as a pattern, since Spark takes no single file)."""
     r = spark.readStream.format(kind).schema(schema)
+    if not any(c in path for c in "*?[{"):
+        path = f"{path[:-1]}[{path[-1]}]"
     return (r if files_per_trigger is None else r.option("maxFilesPerTrigger", files_per_trigger)).load(path)
 
 
@@ -28,7 +31,7 @@ def word_counts(stream: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def windowed_counts(stream: DataFrame, time_col: str = "ts", size: str = "1 hour", late: str = "10 minutes", *keys: str) -> DataFrame:
-    return stream.withWatermark(time_col, late).groupBy(F.window(time_col, size), *keys).agg(F.count("*").alias("n"))
+    return stream.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, late).groupBy(F.window(time_col, size), *keys).agg(F.count("*").alias("n"))
 
 
 def for_each_batch(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
