@@ -40,10 +40,10 @@ def _random_looking(s: str) -> bool:
     letters = sum(c.isalpha() for c in s)
     if letters + digits < MIN_LENGTH or not letters:
         return False
-    if digits:
-        return digits >= 2
+    if digits >= 2:
+        return True
     turns = sum(a.islower() and b.isupper() for a, b in zip(s, s[1:]))
-    return turns >= 4 and len(s) >= 20
+    return turns >= 3 and len(s) >= 20
 
 
 def find_secrets(text: str | None, enc, min_length: int = MIN_LENGTH, max_chars_per_token: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, float]]:
