@@ -177,3 +177,20 @@ def _(spark, d):
     q = counts.writeStream.outputMode("complete").option("checkpointLocation", ck).foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(path)).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(path)
+
+
+# ---- a whole corpus from a configuration ----
+
+
+@query(
+    "collect_corpus",
+    """WITH t AS (SELECT 'documents' AS source, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents UNION ALL SELECT 'benchmark', trim(regexp_replace(text, '\\s+', ' ', 'g')) FROM benchmark),
+r AS (SELECT text, source, row_number() OVER (ORDER BY source, text) AS p FROM t WHERE length(text) BETWEEN 50 AND 5000)
+SELECT text, source FROM r QUALIFY row_number() OVER (PARTITION BY text ORDER BY p) = 1""",
+)
+def _(spark, d):
+    from textquarry.plans import pipeline as P
+
+    sources = [{"name": n, "kind": "parquet", "path": f"{d}/{n}.parquet"} for n in ("documents", "benchmark")]
+    config = P.config_from({"sources": sources, "clean": {"fix_html": False, "fix_unicode": False, "strip_accents": False}, "filter": {"min_length": 50, "max_length": 5000}})
+    return P.collect(spark, config).select("text", "source")

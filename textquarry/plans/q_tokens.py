@@ -276,3 +276,8 @@ def _(spark, d):
 @query("metric_compare", f"WITH {_TOKENS}, r AS (SELECT round(sum(length(text)) / sum(len(tokens)), 6) AS ratio_a, round(sum(length(text)) / sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))), 6) AS ratio_b FROM tok) SELECT ratio_a, ratio_b, round(ratio_a - ratio_b, 6) AS difference FROM r")
 def _(spark, d):
     return M.compare(tokenized(spark, d), docs(spark, d).select("text", T.words(F.col("text")).alias("tokens")))
+
+
+@query("mixed_route_regex", "SELECT doc_id, CASE WHEN regexp_matches(text, '[0-9]{4}') THEN 'numbers' WHEN regexp_matches(text, '[äöüßéèêçñó]') THEN 'accents' ELSE 'plain' END AS tokenizer FROM documents")
+def _(spark, d):
+    return docs(spark, d).select("doc_id", K.regex_router([("[0-9]{4}", "numbers"), ("[äöüßéèêçñó]", "accents")], "plain")(F.col("text")).alias("tokenizer"))
