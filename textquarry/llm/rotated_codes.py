@@ -59,7 +59,10 @@ def bounds(f: np.ndarray, dim: int) -> np.ndarray:
     return EPSILON * np.sqrt((1 - f * f) / (f * f * max(1, dim - 1)))
 
 
-def _bands(bands: int, bits: int, seed: int):
+_FEW, _PAIRS = 64, 100_000  # vectors of a band up to which its pairs are listed; pairs taken at once
+
+
+def _bands(bands: int, bits: int, seed: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(1)
@@ -81,37 +84,65 @@ def _bands(bands: int, bits: int, seed: int):
                     rot, part = divmod(band, per)
                     v = x @ r[1 + rot][part * width : (part + 1) * width].T > 0
                     key = (v @ (1 << np.arange(width))).astype(np.int64) | band << 40 | int(dim) << 48
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), codes], ["band", "id", "code"])
+                    bucket = (mix64(key.view(U64)) % U64(buckets)).astype(np.int64) | int(dim) << 32
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(key), pa.array(ids), codes], ["bucket", "band", "id", "code"])
 
     return run
 
 
 def _estimate(min_cosine: float):
+    """Pairs of the bands of one bucket. Bands of few vectors are taken together, pair by pair; large ones as matrices."""
+
     def run(t: pa.Table) -> pa.Table:
-        dim = t.column("band")[0].as_py() >> 48
-        # A copy per id; bands of equal key hold each id once.
-        order = np.argsort(t.column("id").to_numpy(), kind="stable")
-        ids = t.column("id").to_numpy()[order]
+        band, ids = t.column("band").to_numpy(), t.column("id").to_numpy()
+        dim = int(band[0] >> 48)
+        order = np.lexsort((ids, band))
+        band, ids = band[order], ids[order]
         code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
+        start = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1])))
+        size = np.diff(start, append=len(ids))
         nb = -(-dim // 8)
-        sign = np.unpackbits(code[:, :nb], axis=1)[:, :dim].astype(np.float32) * 2 - 1
-        packed = code[:, nb : nb + -(-dim // 2)]
-        q = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(ids), -1)[:, :dim].astype(np.float32)
-        f, low, step = np.ascontiguousarray(code[:, -12:]).view("<f4").T
-        q = q * step[:, None] + low[:, None]
-        sign /= np.sqrt(dim) * f[:, None]
-        err = bounds(f.astype(np.float64), dim)
         out: list[list[np.ndarray]] = [[], [], [], []]
-        rows = max(1, 4_000_000 // max(1, len(ids)))
-        for i in range(0, len(ids), rows):
-            j = min(len(ids), i + rows)
-            est = (sign[i:j] @ q[i:].T + q[i:j] @ sign[i:].T) / 2
-            bound = (err[i:j, None] + err[None, i:]) / 2
-            a, b = np.nonzero((est + bound >= min_cosine) & (np.arange(i, len(ids))[None, :] > np.arange(i, j)[:, None]))
-            for k, v in enumerate((ids[i:j][a], ids[i:][b], est[a, b], est[a, b] - bound[a, b] >= min_cosine)):
+
+        def vectors(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(signs over the correction factor, coordinates, error bounds)."""
+            c = code[rows]
+            f, low, step = np.ascontiguousarray(c[:, -12:]).view("<f4").T
+            sign = np.unpackbits(c[:, :nb], axis=1)[:, :dim].astype(np.float32) * 2 - 1
+            packed = c[:, nb : nb + -(-dim // 2)]
+            q = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(c), -1)[:, :dim].astype(np.float32)
+            return sign / (np.sqrt(dim) * f[:, None]).astype(np.float32), q * step[:, None] + low[:, None], bounds(f.astype(np.float64), dim)
+
+        def keep(a: np.ndarray, b: np.ndarray, est: np.ndarray, bound: np.ndarray) -> None:
+            near = est + bound >= min_cosine
+            for k, v in enumerate((ids[a[near]], ids[b[near]], est[near], est[near] - bound[near] >= min_cosine)):
                 out[k].append(v)
-        a, b, e, sure = (np.concatenate(x) for x in out)
-        return pa.table({"a": a, "b": b, "estimate": e.astype(np.float64), "sure": sure})
+
+        few = (size > 1) & (size <= _FEW)
+        used = np.repeat(few, size)
+        rows = np.flatnonzero(used)
+        later = np.repeat(start + size, size)[used] - rows - 1  # partners of a row: those after it in its band
+        ends = np.cumsum(later)
+        i = 0
+        while i < len(rows):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _PAIRS)))
+            a = np.repeat(rows[i:j], later[i:j])
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later[i:j]) - later[i:j], later[i:j])
+            first, last = rows[i], (b.max() if len(b) else rows[j - 1]) + 1
+            sign, q, err = vectors(slice(first, last))
+            x, y = a - first, b - first
+            keep(a, b, (np.einsum("ij,ij->i", sign[x], q[y]) + np.einsum("ij,ij->i", q[x], sign[y])) / 2, (err[x] + err[y]) / 2)
+            i = j
+        for s, n in zip(start[size > _FEW], size[size > _FEW]):
+            sign, q, err = vectors(slice(s, s + n))
+            step = max(1, 4_000_000 // n)
+            for i in range(0, n, step):
+                j = min(n, i + step)
+                a, b = np.nonzero(np.arange(i, n)[None, :] > np.arange(i, j)[:, None])
+                est = (sign[i:j] @ q[i:].T + q[i:j] @ sign[i:].T) / 2
+                keep(s + i + a, s + i + b, est[a, b], (err[i:j][a] + err[i:][b]) / 2)
+        a, b, e, sure = (np.concatenate(x) if x else np.zeros(0) for x in out)
+        return pa.table({"a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64)), "estimate": pa.array(e.astype(np.float64)), "sure": pa.array(sure.astype(bool))})
 
     return run
 
@@ -122,8 +153,9 @@ def near_pairs(vectors: DataFrame, min_cosine: float = MIN_COSINE, bands: int =
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = v.where(~bad & F.exists("v", lambda x: x != 0.0)).groupBy("id").agg(F.min("v").alias("v"))
     same = checkpoint(v.groupBy("v").agg(F.min("id").alias("id"), F.collect_list("id").alias("ids")))
-    coded = same.select("id", "v").mapInArrow(_bands(bands, band_bits, seed), "band long, id long, code binary")
-    found = coded.groupBy("band").applyInArrow(_estimate(min_cosine), "a long, b long, estimate double, sure boolean")
+    buckets = 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    coded = same.select("id", "v").mapInArrow(_bands(bands, band_bits, seed, buckets), "bucket long, band long, id long, code binary")
+    found = coded.groupBy("bucket").applyInArrow(_estimate(min_cosine), "a long, b long, estimate double, sure boolean")
     found = checkpoint(found.dropDuplicates(["a", "b"]))  # a pair's estimate is the same in every band
     one = same.select("id", "v")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, p: s + p)
