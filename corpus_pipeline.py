@@ -18,29 +18,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textquarry.llm import bpe_prefix, mixing, secret_scan, simhash_anchors, toxicity
 from textquarry.llm._util import shared_dir
+from textquarry.plans.ship import ship
 
 #: Share of the tokens that the mixing stage takes.
 BUDGET_SHARE = 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return simhash_anchors.drop_near_duplicates(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return secret_scan.redact_secrets(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return mixing.mix_documents(docs, budget_share=BUDGET_SHARE)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return bpe_prefix.encode_documents(docs)
 
 
