@@ -6,6 +6,7 @@ import tempfile
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 U64 = np.uint64
@@ -47,6 +48,40 @@ def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
 
 
+#: Size of the Bloom filter of ``with_ids``: 4 MB, whatever the number of documents.
+FILTER_BITS = 1 << 25
+
+
+def _places(ids: np.ndarray) -> np.ndarray:
+    h = mix64(ids.astype(np.int64).view(U64) ^ U64(0x2545F4914F6CDD1D))
+    return np.stack([h % U64(FILTER_BITS), (h >> U64(32)) % U64(FILTER_BITS)]).astype(np.int64)
+
+
+def with_ids(d: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of (id, text) whose id is among ``ids``, and a few others: a Bloom filter spares the rest a shuffle."""
+
+    def bits(batches):
+        on = np.zeros(FILTER_BITS, bool)
+        for b in batches:
+            on[_places(b.column(0).to_numpy()).ravel()] = True
+        words = np.packbits(on, bitorder="little").view("<i4")
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(words[at], pa.int32())], ["at", "word"])
+
+    rows = ids.select("id").mapInArrow(bits, "at int, word int").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    words = np.zeros(FILTER_BITS // 32, "<i4")
+    words[rows.column("at").to_numpy()] = rows.column("word").to_numpy()
+    sent = d.sparkSession.sparkContext.broadcast(words.view(np.uint8))
+
+    def narrowed(batches):
+        on = sent.value
+        for b in batches:
+            at = _places(b.column(0).to_numpy())
+            yield b.filter(pa.array((on[at >> 3] >> (at & 7) & 1).all(axis=0).astype(bool)))
+
+    return d.select("id", "text").mapInArrow(narrowed, "id long, text string")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
     with np.errstate(over="ignore"):
