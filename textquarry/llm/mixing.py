@@ -6,8 +6,9 @@ time, and the order is cut where the running token count would pass the budget:
 follow the weights, for as long as each source lasts.
 
 No window runs over a whole source or over the whole table. Shuffled order is split into buckets by the first hex
-digits of the hash, and time into slices; running sums are taken inside a bucket or slice and offset by the sums of
-the earlier ones, which come from a small aggregate. A hot source is spread over all its buckets.
+digits of the hash, and the order of time into ranges of about equal numbers of documents (a global range sort); running
+sums are taken inside a bucket or range and offset by the sums of the earlier ones, which come from a small aggregate. A
+hot source is spread over all its buckets. Texts are read once; what is sorted and written holds ids, hashes and counts.
 
 Tokens are runs of characters other than space, tab, newline, carriage return and form feed.
 
@@ -21,11 +22,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from textquarry.llm._util import fresh, table
+from textquarry.llm._util import checkpoint, fresh, table
 
 #: Production parameters.
 WEIGHTS, DEFAULT_WEIGHT, BUDGET_SHARE, SEED = {"src0": 6.0}, 1.0, 0.6, "42"
-HEX_DIGITS, SLICES = 2, 256
+HEX_DIGITS = 3
 
 
 def n_tokens(text: Column) -> Column:
@@ -59,12 +60,15 @@ def schedule(docs: DataFrame, weights: dict[str, float] = WEIGHTS, default_weigh
         .withColumn("key", F.md5(F.concat(F.lit(seed + ":"), F.col("doc_id").cast("string"))))
         .withColumn("bucket", F.substring("key", 1, HEX_DIGITS))
     )
-    timed = _running(d, ["source"], "bucket", ["key", "doc_id", "tie"], "n_tokens", "tokens_so_far").withColumn("finish", F.col("tokens_so_far") / F.col("w"))
-    totals = d.groupBy("source", "w").agg(F.sum("n_tokens").alias("t")).agg(F.max(F.col("t") / F.col("w")).alias("last"), F.sum("t").alias("total"))
+    d = checkpoint(d)  # read four times below: the texts are counted and hashed once
+    order = ["finish", "source", "key", "doc_id", "tie"]
+    timed = _running(d, ["source"], "bucket", ["key", "doc_id", "tie"], "n_tokens", "tokens_so_far").withColumn("finish", F.col("tokens_so_far") / F.col("w")).select(*order, "n_tokens")
+    # Written, so that a lost executor can't put rows into other ranges than those summed.
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpoint(timed.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()).withColumn("all", F.lit(0)))
+    total = d.agg(F.sum("n_tokens").alias("total"))
     limit = F.lit(int(budget)) if budget is not None else F.floor(F.lit(float(budget_share)) * F.col("total"))
-    sliced = timed.join(F.broadcast(totals.select("last", limit.alias("limit"))))  # one row
-    sliced = sliced.withColumn("slice", F.least(F.lit(SLICES - 1), F.floor(F.lit(float(SLICES)) * F.col("finish") / F.greatest(F.col("last"), F.lit(1.0))))).withColumn("all", F.lit(0))
-    ranked = _running(sliced, ["all"], "slice", ["finish", "source", "key", "doc_id", "tie"], "n_tokens", "running_tokens")
+    ranked = _running(ranged, ["all"], "range", order, "n_tokens", "running_tokens").join(F.broadcast(total.select(limit.alias("limit"))))  # one row
     return ranked.where("running_tokens <= limit").select("doc_id", "source", "n_tokens", F.round("finish", 6).alias("finish"), "running_tokens", F.col("tie").alias("__tie"))
 
 
