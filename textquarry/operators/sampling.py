@@ -18,11 +18,13 @@ def ordered_distinct(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return df.groupBy(text_col).agg(F.min(id_col).alias(id_col))
 
 
-def with_position(df: DataFrame, order: list[Column | str], name: str = "position", slices: int = 256) -> DataFrame:
+def with_position(df: DataFrame, order: list[Column | str], name: str = "position", slices: int | None = None) -> DataFrame:
     """Global positions from 0, without one task that sorts everything.
 
-    Rows are range-partitioned; each partition numbers its rows after those of the partitions before, whose sizes are a small aggregate.
+    Rows are range-partitioned (into spark.sql.shuffle.partitions ranges by default); each partition numbers its rows after
+    those of the partitions before, whose sizes are a small aggregate.
     """
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Written, so that a lost executor can't put rows into other ranges than those counted.
     part = checkpoint(df.repartitionByRange(slices, *order).withColumn("__part", F.spark_partition_id()))
     sizes = part.groupBy("__part").agg(F.count("*").alias("__n"))
