@@ -28,6 +28,16 @@ def test_similar_branches_merge(spark):
     assert {r.template for r in got.values()} == {"/*/*"}
 
 
+def test_bad_section_among_many(spark):
+    for sections in (20, 21, 60):
+        urls = [f"http://d.org/s{k // 40}/{k}" for k in range(40 * sections)] + [f"http://d.org/slug{k}/x" for k in range(3)]
+        bad = lambda k: k // 40 == 7 or k % 10 == 0
+        got = verdicts(spark, urls, [(k, int(not bad(k)), 0) for k in range(40 * sections)])
+        for k in range(40 * sections):
+            assert got[k].rejected == (k // 40 == 7) and got[k].template == ("/s7/*" if k // 40 == 7 else "/*/*"), (sections, k)
+        assert {got[k].template for k in range(40 * sections, len(urls))} == {"/*/*"}
+
+
 def test_edges(spark):
     urls = [None, "", "no url", "http://h.com", "http://h.com/", "http://H.com//1///2.html#x", "http://h.com/a/b/c/d/e/f", "ftp://h.com/1", "http://h.com/a/b/c/d/e/f", "http://h.com/" + "x" * 100_000]
     got = verdicts(spark, urls, [(1, 0, 0), (1, 1, 0), (2, None, None), (None, 0, 1)])

@@ -1,9 +1,10 @@
 """URL filters by a tree of path templates.
 
 For each host, the tree of path segments is generalised level by level from the root. A segment that looks variable (a number, a
-hexadecimal string, a UUID, a date) becomes ``*``, and so do all branches of a node that has more than ``max_branches``
-of them. Of the branches left, those whose labelled share of bad pages doesn't differ significantly from the share
-of all of the node's (a two-sided z test, ``merge_z``) are merged into ``*`` too; a branch that differs keeps its name. Below
+hexadecimal string, a UUID, a date) becomes ``*``. Of the branches left, whatever their number, those whose labelled share of bad pages doesn't differ
+significantly from the share of all of the node's (a two-sided z test, ``merge_z``) are merged into ``*`` too; a branch that differs keeps its name. At a
+node of k > ``max_branches`` branches the limit allows for the many tests: sqrt(merge_z**2 + 2 ln(k / max_branches)), which makes a chance result at least
+k / max_branches times rarer. The SQL puts ``*`` for all branches of such a node instead, so it holds for nodes of up to ``max_branches`` only. Below
 ``depth`` levels the rest of the path is ``**``. A leaf is a template; its purity is the smoothed share of good pages among
 its labelled ones, (good + prior * base) / (labelled + prior), where base is the share over all pages, and a template is
 rejected when its purity is below ``min_purity``.
@@ -60,8 +61,10 @@ def url_verdicts(pages: DataFrame, labels: DataFrame, depth: int = DEPTH, max_br
         node = branches.where("branch <> ''").groupBy("host", "template").agg(F.count("*").alias("k"), F.sum("bn").alias("nn"), F.sum("bb").alias("nb"))
         both = branches.join(node, ["host", "template"], "left")
         share = F.col("nb") / F.col("nn")
-        differs = (F.col("bn") > 0) & (F.abs(F.col("bb") / F.col("bn") - share) > F.lit(float(merge_z)) * F.sqrt(share * (1 - share) / F.col("bn")))
-        name = F.when(F.col("branch") == "", "").when((F.col("branch") == "*") | (F.col("k") > max_branches), "*").when(differs, F.col("branch")).otherwise("*")
+        many = F.col("k") / F.lit(float(max(max_branches, 1)))
+        z = F.when(many <= 1, F.lit(float(merge_z))).otherwise(F.sqrt(F.lit(float(merge_z) ** 2) + 2 * F.ln(many)))
+        differs = (F.col("bn") > 0) & (F.abs(F.col("bb") / F.col("bn") - share) > z * F.sqrt(share * (1 - share) / F.col("bn")))
+        name = F.when(F.col("branch") == "", "").when(F.col("branch") == "*", "*").when(differs, F.col("branch")).otherwise("*")
         named = both.select("host", "template", "branch", name.alias("name"))
         level = level.join(named, ["host", "template", "branch"])
         paths = level.select("host", "segs", "n", "b", F.when(F.col("name") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), "name")).alias("template"))
