@@ -69,3 +69,19 @@ def test_redaction_and_edges(spark):
     hits = X.scan_secrets(df).collect()
     assert sorted((x.doc_id, x.secret) for x in hits) == [(1, s), (1, s), (4, s)]
     assert X.scan_secrets(spark.createDataFrame([], df.schema)).count() == 0
+
+
+def test_secrets_inside_links_and_beside_other_scripts():
+    enc, s = encoding(), "hV7kq2Lw9ZpX4mTz8RbN"
+    for text in (
+        "postgres://admin:%s@db.internal:5432/app", "redis://:%s@cache:6379", "https://%s@github.com/a/b", "admin:%s@db.internal:5432/app", "https://api.example.com/v1?api_key=%s", "https://api.example.com/v1?a=1&key=%s&b=2",
+        "https://example.com/cb#access_token=%s", "https://example.com/key=%s/x", "settings.json:token=%s", "url=https://example.com/v1?key=%s", "https://a.com/?next=https://b.com/x&key=%s", "www.example.com/x?key=%s", "someone@example.org:%s",
+        "密码%s是", "パスワード%sです", "รหัส%sนะ",
+    ):
+        want = text % s
+        assert [want[a:b] for a, b, _ in X.find_secrets(want, enc)] == [s], text
+    for text in (
+        "https://example.com/%s", "https://example.com/a/%s?page=2", "http://%s.example.com/", "url=https://example.com/%s", "https://a.com/?next=https://b.com/%s", "https://web.archive.org/web/https://b.com/%s", "www.example.com/%s",
+        "%s@example.org", "mailto:%s@example.org", "email=%s@example.org", "from:%s@example.org", "git@github.com:org/%s.git", "%s.example.com/x", "urn:isbn:%s", "é%s", "%sж",
+    ):
+        assert X.find_secrets(text % s, enc) == [], text

@@ -3,7 +3,8 @@
 A vocabulary trained on text spends few characters per token on random strings. Candidates are unbroken ASCII runs of
 at least ``min_length`` characters that mix letters and digits (or upper and lower case in an unusual way); their
 characters per token under a tiktoken vocabulary are compared with ``max_chars_per_token``. Excluded first, as known
-digests and identifiers: UUIDs; runs of only digits; e-mail addresses, links, host names and paths; and strings of a
+digests and identifiers: UUIDs; runs of only digits; e-mail addresses and the schemes, hosts and paths of links (but
+not user-info, parameters, fragments and assigned values that stand in one run with them); and strings of a
 digest's exact length in hexadecimal digits when a label such as sha256, md5, commit, etag or checksum stands before
 them, or when no assignment to a key stands before them at all (a bare digest). A hexadecimal string that is assigned
 to a key (token = "...") is a secret whatever its length.
@@ -35,6 +36,70 @@ _ASSIGNED = re.compile(r"[A-Za-z_][\w.-]*[\"']?\s{0,3}(?:=|:=|:|=>)\s{0,3}[\"'`]
 _PLACE = re.compile(r"^(?:https?|ftp|s3|git|file|mailto|data|urn)[:/]|^www\.|@[\w-]+\.|://|^[\w.-]+\.(?:com|org|net|io|gov|edu|html?|php|js|css|png|jpe?g|gif|pdf|json|xml|py|java)\b", re.I)
 
 
+#: The parts of a run that name a place. A path ends at a query or fragment; a value assigned inside it ends at the next slash.
+_LINK = re.compile(r"(?P<scheme>(?:(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*)?://)(?:(?P<user>[^/?#]*)@)?(?P<host>[^/?#@=&]*)(?P<path>(?:/[^?#]*)?)", re.I)
+_NESTED_LINK = re.compile(r"(?P<scheme>(?:(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*)?://)(?:(?P<user>[^/?#&]*)@)?(?P<host>[^/?#@=&]*)(?P<path>(?:/[^?#&]*)?)", re.I)
+_OPAQUE = re.compile(r"(?:(?<=[=&?#])|^)(?:https?|ftp|s3|git|file|mailto|data|urn)[:/](?!/)(?P<path>[^?#&]*)", re.I)
+_NAME = re.compile(r"(?:(?<=[=&?#])|^)(?:www\.[\w.-]+|[\w.-]+\.(?:com|org|net|io|gov|edu|html?|php|js|css|png|jpe?g|gif|pdf|json|xml|py|java)\b[\w.~+%-]*)(?::\d{1,5}(?![\w.-]))?(?P<path>(?:/[^?#&]*)?)", re.I)
+_MAILBOX = re.compile(r"(?<![\w.+%~-])(?P<local>[\w.+%~-]*)@[\w-]+\.[\w.-]*(?::\d{1,5}(?![\w.-]))?(?P<path>(?:/[^?#&]*)?)")
+_GIT = re.compile(r"git@[\w.-]+:[^?#&=]*", re.I)
+_MAIL_LABEL = re.compile(r"(?:^|[^a-z])(?:e-?mail|mail|mailto|to|cc|bcc|from|author|contact|by|sender|user):$", re.I)
+_VALUE = re.compile(r"=([^/?#&=]+)")
+_PASSWORD = re.compile(r":([^:/?#@&=]+)@(?=[\w-])")
+
+
+def _tested(run: str) -> list[tuple[int, int]]:
+    """The spans of a run that are no scheme, host, path or mailbox."""
+    if not _PLACE.search(run):
+        return [(0, len(run))]
+    named = bytearray(len(run))
+
+    def exclude(a: int, b: int) -> None:
+        named[a:b] = b"\1" * (b - a)
+
+    def path(m: re.Match) -> None:
+        exclude(*m.span("path"))
+        for v in _VALUE.finditer(run, *m.span("path")):  # an assigned value is none of its names
+            if not _PLACE.search(v[1]):
+                named[v.start(1) : v.end(1)] = bytes(v.end(1) - v.start(1))
+
+    for place in (_NAME, _OPAQUE, _MAILBOX):
+        for m in place.finditer(run):
+            exclude(m.start(), m.start("path"))
+            path(m)
+    for m in _GIT.finditer(run):
+        exclude(*m.span())
+    # Last the links: what they say of user-info and parameters holds against the others.
+    at, query = 0, min((k for k in map(run.find, "?=") if k >= 0), default=len(run))
+    while m := (_NESTED_LINK if at > query else _LINK).search(run, at):
+        exclude(m.start("scheme"), m.end("scheme"))
+        exclude(*m.span("host"))
+        path(m)
+        if m["user"]:
+            named[m.start("user") : m.end("user")] = bytes(len(m["user"]))
+        at = m.end()
+        if "://" in m["path"]:  # a link inside the path
+            at = m.start("path")
+    for m in _PASSWORD.finditer(run):
+        if not _MAIL_LABEL.search(run[max(0, m.start(1) - 16) : m.start(1)]):
+            named[m.start(1) : m.end(1)] = bytes(len(m[1]))
+    spans, a = [], 0
+    for b, x in enumerate(named + b"\1"):
+        if x:
+            if b > a:
+                spans.append((a, b))
+            a = b + 1
+    return spans
+
+
+#: Scripts that put no space between words, or none before their particles: a string beside their letters is not part of a longer word.
+_UNSPACED = re.compile("[฀-࿿က-႟ᄀ-ᇿក-៿ᥐ-᧟ᨠ-᪯⺀-⿿々-㆏ㆠ-ㇿ㐀-䶿一-鿿ꧠ-꧿ꩠ-꫟가-퟿豈-﫿ｦ-ￜ\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
+
+
+def _joins(c: str) -> bool:
+    return c.isalnum() and not _UNSPACED.match(c)
+
+
 def _random_looking(s: str) -> bool:
     digits = sum(c.isdigit() for c in s)
     letters = sum(c.isalpha() for c in s)
@@ -53,12 +118,10 @@ def find_secrets(text: str | None, enc, min_length: int = MIN_LENGTH, max_chars_
         return found
     for run in _RUN.finditer(text):
         whole = run.group()
-        if _PLACE.search(whole):
-            continue
         # A run that goes on into other letters is part of a longer word, not a string of its own.
-        if (run.start() and text[run.start() - 1].isalnum()) or (run.end() < len(text) and text[run.end()].isalnum()):
+        if (run.start() and _joins(text[run.start() - 1])) or (run.end() < len(text) and _joins(text[run.end()])):
             continue
-        for m in _CORE.finditer(whole):
+        for m in (m for a, b in _tested(whole) for m in _CORE.finditer(whole, a, b)):
             s = m.group().rstrip(".~-/")
             if len(s) < min_length or not _random_looking(s) or _UUID.fullmatch(s) or s.count("/") > 3 and s.startswith("/"):
                 continue
