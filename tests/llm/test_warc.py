@@ -32,6 +32,13 @@ def test_chunks_against_brute_force():
             assert all(x[2] == f"urn:{k}" and x[4] == f"http://h/{k}" and x[11] for x in own) and own[-1][12] is True
 
 
+def test_long_urls():
+    for n in (65_519 - 1, 65_519, 65_519 + 1, 70_000, 200_000):  # with 65,519 the header's first 65,536 bytes end at its line end
+        url = "http://h/" + "x" * (n - 9)
+        rows = chunks_of(b"".join(X.record("urn:1", url, b"abc")) + b"".join(X.record("urn:2", "http://h/2", b"de")))
+        assert [(x[2], x[4], x[8]) for x in rows] == [("urn:1", url, b"abc"), ("urn:2", "http://h/2", b"de")]
+
+
 def test_damaged_files():
     whole = b"".join(X.record("urn:1", None, b"x" * 250))
     cut = chunks_of(whole[: whole.index(b"\r\n\r\n") + 4 + 120])

@@ -66,9 +66,10 @@ def _read(f: BinaryIO, n: int) -> bytes:
         return b""
 
 
-def _line(f: BinaryIO) -> bytes:
+def _line(f: BinaryIO, most: int = 65_536) -> bytes:
+    """A line, at most so many bytes of it; -1 for the whole line."""
     try:
-        return f.readline(65_536)
+        return f.readline(most)
     except (EOFError, OSError, zlib.error):
         return b""
 
@@ -85,7 +86,7 @@ def read_chunks(f: BinaryIO, name: str, chunk_bytes: int = CHUNK_BYTES) -> Itera
         number += 1
         headers: dict[str, str] = {}
         if line.startswith(b"WARC/"):
-            while (line := _line(f)) not in (b"\r\n", b"\n", b""):
+            while (line := _line(f, -1)) not in (b"\r\n", b"\n", b""):
                 key, colon, value = line.decode("utf-8", "replace").partition(":")
                 if colon:
                     headers.setdefault(key.strip().lower(), value.strip())
