@@ -6,10 +6,12 @@
 2. A repeat of at least ``min_words`` >= 2 * block words holds a whole block of either copy, so it has a hit. Only
    around hits, windows of ``min_words`` words are hashed anew (64 bits) and brought together: the hits are
    extended word by word through every such window that occurs again anywhere.
-3. Per document, neighbouring windows that repeat the same place of the same partner join to maximal exact repeats.
+3. Per document, neighbouring windows that repeat the same place of the same partner join to exact repeats.
 
 The partner of a window is its first occurrence (by id and position), that of the first occurrence the second. No
-occurrence is dropped, however often a passage repeats, and the work is linear in the windows.
+occurrence is dropped, however often a passage repeats, and the work is linear in the windows. So a span is maximal only with
+respect to first occurrences: where a passage's parts occur first in different documents it is reported as several spans, and a longer repeat with
+a later occurrence is not. Every repeated word is covered all the same.
 
 Words are runs without white space (single characters in scripts without spaces), so a repeat is exact up to
 white space. Offsets and lengths count words.
