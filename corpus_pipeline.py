@@ -3,7 +3,8 @@
 1. toxicity: documents over the lexicon's threshold go.
 2. SimHash near-dedup: of each group of copies and near copies the smallest id stays.
 3. secret scans: each secret is replaced by [SECRET]; all documents stay.
-4. mixing: documents in the order of weighted fair queueing, up to the token budget.
+4. mixing: the documents that weighted fair queueing takes up to the token budget; only this cut takes effect, the
+   stage's output is in no particular order.
 5. byte-level BPE: the documents with their token ids.
 
 Null texts pass stages 1 to 3 (nothing in them to reject), are left out by stage 4, which can't count them, and so is
