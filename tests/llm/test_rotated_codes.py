@@ -13,9 +13,8 @@ def test_estimate_is_unbiased_and_bounded():
     rng = np.random.default_rng(1)
     x = unit(rng.standard_normal((400, 64)))
     y = unit(x + 0.06 * rng.standard_normal(x.shape))
-    rot = X.rotations(64, 1, 3)[0]
-    sign, f, *_ = X.encode(x, np.arange(400), rot)
-    _, _, q, low, step = X.encode(y, np.arange(400, 800), rot)
+    sign, f, *_ = X.encode(X.rotate(x, 0, 1, 3), np.arange(400))
+    _, _, q, low, step = X.encode(X.rotate(y, 0, 1, 3), np.arange(400, 800))
     s = (sign * 2.0 - 1) / np.sqrt(64)
     v = q * step[:, None] + low[:, None]
     error = (s * v).sum(1) / f - (x * y).sum(1)
@@ -85,12 +84,68 @@ def test_large_and_small_bands_agree(spark, monkeypatch):
     assert small == pairs() and held(X.near_pairs(df).collect(), {r[0]: r[1] for r in rows})
 
 
+def test_split_bands_agree(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal((2, 32))
+    df = spark.createDataFrame([(i, (unit(centre[i % 2]) + 0.04 * rng.standard_normal(32)).astype(np.float32).tolist(), 1, "") for i in range(400)], SCHEMA)
+    pairs = lambda: sorted(tuple(r) for r in X.near_pairs(df).collect())
+    whole = pairs()
+    monkeypatch.setattr(X, "SPLIT", 30)
+    assert whole and whole == pairs()
+
+
+def test_bands_follow_the_number_of_vectors():
+    assert X.band_plan(51_282) == (24, 14)
+    for n in (0, 1, 500, 10**6, 10**9):
+        bands, bits = X.band_plan(n)
+        assert 1 - (1 - (1 - np.arccos(X.MIN_COSINE) / np.pi) ** bits) ** bands >= X.RECALL
+        assert n / 2**bits <= 8
+    assert X.band_plan(10**9)[0] < 12 * X.band_plan(51_282)[0]
+
+
+def test_long_vectors_are_turned_too():
+    x = unit(np.random.default_rng(7).standard_normal((6, 3000)))
+    y = X.rotate(x, 1, 2, 5)
+    assert y.shape == (6, 4096) and np.allclose(y @ y.T, x @ x.T) and abs(y.mean()) < 0.01
+
+
+def test_extreme_vectors(spark):
+    rows = [(1, [1e-30, 2e-30]), (2, [1e30, 2e30]), (3, [1.0, 0.1] * 20_000), (4, [1.0, 0.1] * 20_000), (5, [1.0])]
+    got = {r.vec_id: r[1:] for r in X.near_classes(spark.createDataFrame([(i, v, 1, "x") for i, v in rows], SCHEMA)).collect()}
+    assert got == {1: (1, 1, 1), 2: (2, 1, 1), 3: (3, 0, 3), 4: (3, 0, 3), 5: (5, 0, 5)}
+
+
+def brute_classes(vectors):
+    """Of each id: its class, the exact number of linked classes, the group."""
+    first, seen = {}, {}
+    for i in sorted(vectors):
+        first[i] = seen.setdefault(tuple(vectors[i]), i)
+    pairs = cosines({i: vectors[i] for i in set(first.values())})
+    up = {i: i for i in first.values()}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    links = {i: sum(i in p for p in pairs) for i in up}
+    return {i: (c, links[c], root(c)) for i, c in first.items()}
+
+
 def test_query_against_brute_force(spark, sf_dir, tmp_path):
-    """The whole table, with noisy copies of its vectors put in: it has no near pairs of its own."""
+    """The whole table, with noisy and exact copies of its vectors put in: it has no near pairs of its own."""
     rng = np.random.default_rng(5)
     rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     for i, v, label in rows[:150]:
         noisy = unit(np.array(v)) + rng.uniform(0, 0.06) * rng.standard_normal(len(v))
         rows.append((10_000 + i, [float(x) for x in noisy.astype(np.float32)], label))
+        rows.append((20_000 + i, v, label))
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    assert len(held(X.op9_rotated_codes(spark, str(tmp_path)).collect(), {r[0]: r[1] for r in rows})) > 50
+    got = {r.vec_id: (r.class_id, r.links, r.group_id) for r in X.op9_rotated_codes(spark, str(tmp_path)).collect()}
+    want = brute_classes({r[0]: r[1] for r in rows})
+    assert set(got) == set(want) and all(got[i][0] == want[i][0] and got[i][1] <= want[i][1] + 1 for i in want)
+    assert sum(g[1] for g in got.values()) >= 0.9 * sum(w[1] for w in want.values()) > 100
+    assert np.mean([got[i][2] == want[i][2] for i in want]) > 0.95
