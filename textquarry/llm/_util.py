@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         where = getattr(sc, "_tq_shared", None) or "file://" + tempfile.mkdtemp(prefix="tq-shared-")
         sc._tq_shared = where
     if sc.getCheckpointDir() is None:
@@ -43,6 +46,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a compressed table in the shared folder: smaller than a checkpoint, and read by column."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which ``small`` broadcasts.
+SMALL = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A checkpointed table, marked for a broadcast if it has at most ``SMALL`` rows; larger ones are joined by a shuffle."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text) of the rows that have both; every other column, whatever its name, is left behind."""
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
@@ -57,8 +76,8 @@ def _places(ids: np.ndarray) -> np.ndarray:
     return np.stack([h % U64(FILTER_BITS), (h >> U64(32)) % U64(FILTER_BITS)]).astype(np.int64)
 
 
-def with_ids(d: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of (id, text) whose id is among ``ids``, and a few others: a Bloom filter spares the rest a shuffle."""
+def _bloom(ids: DataFrame):
+    """A Bloom filter of the ids, broadcast: 4 MB whatever their number."""
 
     def bits(batches):
         on = np.zeros(FILTER_BITS, bool)
@@ -71,13 +90,42 @@ def with_ids(d: DataFrame, ids: DataFrame) -> DataFrame:
     rows = ids.select("id").mapInArrow(bits, "at int, word int").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
     words = np.zeros(FILTER_BITS // 32, "<i4")
     words[rows.column("at").to_numpy()] = rows.column("word").to_numpy()
-    sent = d.sparkSession.sparkContext.broadcast(words.view(np.uint8))
+    return ids.sparkSession.sparkContext.broadcast(words.view(np.uint8))
+
+
+def _among(on: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = _places(ids)
+    return (on[at >> 3] >> (at & 7) & 1).all(axis=0).astype(bool)
+
+
+def with_ids(d: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of (id, text) whose id is among ``ids``, and a few others: a Bloom filter spares the rest a shuffle."""
+    sent = _bloom(ids)
+
+    def narrowed(batches):
+        for b in batches:
+            yield b.filter(pa.array(_among(sent.value, b.column(0).to_numpy())))
+
+    return d.select("id", "text").mapInArrow(narrowed, "id long, text string")
+
+
+def without_ids(d: DataFrame, out: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows of (id, text) but for most of those whose id is in ``out``; none whose id is in ``stay`` is lost, and nothing is shuffled.
+
+    A second filter holds those of ``stay`` that the first takes for ids of ``out``. With more ids than the filters can tell apart, more rows of ``out`` stay.
+    """
+    first = _bloom(out)
+
+    def taken(batches):
+        for b in batches:
+            yield b.filter(pa.array(_among(first.value, b.column(0).to_numpy())))
+
+    second = _bloom(stay.select("id").mapInArrow(taken, "id long"))
 
     def narrowed(batches):
-        on = sent.value
         for b in batches:
-            at = _places(b.column(0).to_numpy())
-            yield b.filter(pa.array((on[at >> 3] >> (at & 7) & 1).all(axis=0).astype(bool)))
+            ids = b.column(0).to_numpy()
+            yield b.filter(pa.array(~_among(first.value, ids) | _among(second.value, ids)))
 
     return d.select("id", "text").mapInArrow(narrowed, "id long, text string")
 

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textquarry.llm._util import U64, checkpoint, mix64, table
+from textquarry.llm._util import U64, checkpoint, mix64, small, table
 from textquarry.llm.simhash_anchors import components
 
 #: Least cosine of a link; share of the pairs at just that cosine that some band brings together; vectors of a band from which it is split.
@@ -232,7 +232,7 @@ def classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
 def _spread(coded: DataFrame, keys: DataFrame, split: int, buckets: int) -> DataFrame:
     """With part, block and bucket: a band of up to ``split`` vectors is block 0; a larger one has a block for each pair of its parts."""
-    large = keys.groupBy("band").agg(F.sum("n").alias("n")).where(F.col("n") > split).select("band", F.ceil(F.col("n") / split).cast("int").alias("parts"))
+    large = small(checkpoint(keys.groupBy("band").agg(F.sum("n").alias("n")).where(F.col("n") > split).select("band", F.ceil(F.col("n") / split).cast("int").alias("parts"))))
     part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
     spread = coded.join(large, "band", "left").select("band", "dim", "id", "code", part.alias("part"), other.alias("other"))

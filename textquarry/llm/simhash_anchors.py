@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textquarry.llm._util import U64, alnum_spans, checkpoint, code_points, fresh, keyed_text, mix64, mul_powers, table, word_hashes
+from textquarry.llm._util import U64, alnum_spans, checkpoint, code_points, fresh, keyed_text, mix64, mul_powers, stored, table, word_hashes
 
 BLOCKS, BITS, SKETCH = 8, 23, 64
 MAX_DISTANCE, BLOCK_THRESHOLD, MIN_JACCARD = 36, 1, 0.45
@@ -201,16 +201,17 @@ def _jaccard(a: str, b: str):
 def components(edges: DataFrame) -> DataFrame:
     """(id, group) of every id in (a, b): the smallest id that can be reached from it.
 
-    Alternates large-star and small-star steps until nothing changes: O(log n) rounds.
+    Alternates large-star and small-star steps until nothing changes: O(log n) rounds. A node's smallest neighbour is an
+    aggregate that is joined to its edges: a node with any number of neighbours is never one row.
     """
-    both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = checkpoint(edges.select("a", "b").where("a <> b").distinct())
     before = None
     while True:
-        n = both(edges).groupBy("a").agg(F.min("b").alias("m"), F.collect_list("b").alias("bs"))
-        large = n.select(F.explode("bs").alias("b"), F.least("a", "m").alias("m"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).groupBy("a").agg(F.min("b").alias("m"), F.collect_list("b").alias("bs"))
-        small = down.select(F.explode("bs").alias("b"), "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b"))).distinct()
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        first = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(first, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(first.select("a", F.col("m").alias("b"))).distinct()
         edges = checkpoint(small)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before or now[0] == 0:
@@ -223,13 +224,15 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicate_groups(docs: DataFrame, max_distance: int = MAX_DISTANCE, block_threshold: int = BLOCK_THRESHOLD, min_jaccard: float = MIN_JACCARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep_id) of every document in a group of two or more; the one with doc_id = keep_id stays."""
     fps = fingerprints(keyed_text(docs, id_col, text_col)).groupBy("id").agg(F.min(F.struct("key", "fp", "sketch")).alias("x")).select("id", "x.*")
-    fps = checkpoint(fps.groupBy("key").agg(F.min(F.struct("id", "fp", "sketch")).alias("x"), F.collect_list("id").alias("ids")))
-    reps = fps.select("x.*")
+    fps = stored(fps)
+    first = checkpoint(fps.groupBy("key").agg(F.min(F.struct("id", "fp", "sketch")).alias("x"), F.count("*").alias("n")))
+    reps = first.select("x.*")
+    copied = first.where("n > 1").select("key", F.col("x.id").alias("rep"))
     pairs = candidate_pairs(reps, max_distance, block_threshold)
     s = reps.select("id", "sketch")
     near = pairs.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b").where(_jaccard("sa", "sb") >= min_jaccard)
     groups = components(near)
-    copies = fps.where(F.size("ids") > 1).select(F.col("x.id").alias("rep"), F.explode("ids").alias("id"))
+    copies = checkpoint(fps.select("id", "key").join(copied, "key").select("rep", "id"))
     near_ids = groups.toDF("rep", "group")
     return (
         copies.union(groups.select("id", "id")).distinct().toDF("rep", "doc_id").join(near_ids, "rep", "left")
