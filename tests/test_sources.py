@@ -70,7 +70,7 @@ def test_sinks(spark, tmp_path):
     info = WR.split_dataset(df, str(tmp_path / "ds"), "mine")
     assert info["splits"]["train"] == {"num_examples": 1, "num_bytes": 3} and json.loads((tmp_path / "ds" / "dataset_info.json").read_text()) == info
     WR.jsonl(df, str(tmp_path / "j"), metadata={"v": 1})
-    assert json.loads((tmp_path / "j" / "_meta.json").read_text()) == {"v": 1}
+    assert json.loads((tmp_path / "j" / "meta-00000.json").read_text()) == {"__meta__": {"v": 1}}
     WR.txt(df, str(tmp_path / "t"))
     model = K.Bpe.train(df, 5)
     WR.model(spark, model, str(tmp_path / "m"))

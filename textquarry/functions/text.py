@@ -103,11 +103,13 @@ def extract(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group)).otherwise(text)
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 - edit distance / longer length; long texts are compared in five slices of 100 characters."""
+def similarity(a: Column, b: Column, sampled_above: int | None = None) -> Column:
+    """1 - edit distance / longer length; texts longer than ``sampled_above`` (none by default) are compared in five slices of 100 characters."""
     longer = F.greatest(F.length(a), F.length(b))
     whole = F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
+    if sampled_above is None:
+        return whole
     step = F.greatest(F.lit(1), F.floor((F.least(F.length(a), F.length(b)) - 100) / 4).cast("int"))
     parts = [(F.substr(a, F.lit(1) + k * step, F.lit(100)), F.substr(b, F.lit(1) + k * step, F.lit(100))) for k in range(5)]
     sampled = sum((1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1)) for x, y in parts), F.lit(0.0)) / 5
-    return F.when(longer > 1000, sampled).otherwise(whole)
+    return F.when(longer > sampled_above, sampled).otherwise(whole)

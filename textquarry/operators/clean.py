@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from textquarry.functions import text as T, unicode as U
+from textquarry.functions.shared import once
 
 
 @dataclass
@@ -52,12 +53,13 @@ def clean_text(config: CleanConfig, text_col: str = "text", keep_empty: bool = F
     """For DataFrame.transform: cleans the column, cuts it at the maximum, drops short and empty texts."""
 
     def run(df: DataFrame) -> DataFrame:
-        out = df.withColumn(text_col, F.coalesce(config.expression(F.col(text_col)), F.lit("")))
-        if config.min_length:
+        # All steps by one projection of their own: the length rules below read its result, they don't repeat it.
+        out = once(df, {text_col: F.coalesce(config.expression(F.col(text_col)), F.lit(""))})
+        if not keep_empty:
+            out = out.where(F.length(text_col) >= max(1, config.min_length))
+        elif config.min_length:
             out = out.withColumn(text_col, F.when(F.length(text_col) >= config.min_length, F.col(text_col)).otherwise(""))
-        if config.max_length is not None:
-            out = out.withColumn(text_col, F.substring(text_col, 1, config.max_length))
-        return out if keep_empty else out.where(F.length(text_col) > 0)
+        return out if config.max_length is None else out.withColumn(text_col, F.substring(text_col, 1, config.max_length))
 
     return run
 
@@ -86,6 +88,16 @@ def pipeline(df: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]], t
 SUFFIX_LANGUAGE = {"py": "python", "js": "javascript", "ts": "javascript", "c": "c", "h": "c", "cpp": "c", "java": "java", "css": "css", "php": "php"}
 
 
+def clean_by_suffix(df: DataFrame, path_col: str = "path", text_col: str = "text", config: CleanConfig | None = None, code=None) -> DataFrame:
+    """Each file by its name: code of a known language by ``clean_code``, everything else by ``clean_text``; empty results go."""
+    from textquarry.operators.code import clean_code
+
+    language = language_of(F.col(path_col))
+    plain = (config or CleanConfig()).expression(F.col(text_col))
+    out = once(df, {text_col: F.when(language.isNotNull(), clean_code(F.col(text_col), language, code)).otherwise(plain)})
+    return out.where(F.length(text_col) > 0)
+
+
 def language_of(path: Column) -> Column:
     """The code language of a file name; null for text."""
     suffix = F.lower(F.regexp_extract(path, "\\.([^./]+)$", 1))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from textquarry.functions import text as T
@@ -63,22 +68,65 @@ def jaccard_pairs(df: DataFrame, threshold: float, id_col: str = "doc_id", text_
     return spread.union(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("similarity", 6).alias("similarity"))
 
 
+_MULTIPLY = 0x9E3779B97F4A7C15
+
+
+def signatures(df: DataFrame, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, w, keys) of the texts with words: hashes of the word set, and a hash for each MinHash band. Written, as it is read several times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = np.random.default_rng(1).integers(1, 1 << 63, bands * rows).astype(np.uint64) | np.uint64(1)
+        for b in batches:
+            h = b.column(1).flatten().to_numpy().astype(np.int64).view(np.uint64)
+            n = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            keys = np.zeros((b.num_rows, bands), np.uint64)
+            start = np.cumsum(n) - n
+            with np.errstate(over="ignore"):
+                for k in range(bands * rows):
+                    x = (h ^ seeds[k]) * np.uint64(_MULTIPLY)
+                    x = (x ^ (x >> np.uint64(32))) * seeds[k]
+                    least = np.minimum.reduceat(x ^ (x >> np.uint64(29)), start) if len(h) else np.zeros(0, np.uint64)
+                    keys[:, k // rows] = (keys[:, k // rows] ^ least) * np.uint64(_MULTIPLY) + np.uint64(k // rows + 1)
+            flat = pa.array(keys.view(np.int64).ravel())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat)], ["id", "w", "keys"])
+
+    kind = dict(df.dtypes)[id_col]
+    t = df.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.transform(word_set(F.col(text_col)), lambda w: F.xxhash64(w)).alias("w")).where(F.size("w") > 0)
+    return checkpoint(t.mapInArrow(run, f"id {kind}, w array<long>, keys array<long>"))
+
+
+def _verified(pairs: DataFrame, t: DataFrame, threshold: float) -> DataFrame:
+    w = t.select("id", "w")
+    return pairs.join(w.toDF("a", "wa"), "a").join(w.toDF("b", "wb"), "b").select("a", "b", F.round(_jaccard("wa", "wb"), 6).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
 def minhash_pairs(df: DataFrame, threshold: float = 0.85, bands: int = 32, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b, similarity) of pairs that share a MinHash band and reach the threshold on their whole word sets.
 
-    A text's hashes are computed in its own row (no explode, no shuffle); only band keys and ids are shuffled.
+    Signatures are made in the texts' own rows (no explode, no shuffle); only band keys and ids are shuffled. All pairs
+    of a band are listed: for groups of many copies use ``drop_similar``, which doesn't.
     """
-    t = df.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), word_set(F.col(text_col)).alias("w")).where(F.size("w") > 0)
-    h = F.transform("w", lambda w: F.xxhash64(w))
+    t = signatures(df, bands, rows, id_col, text_col)
+    banded = t.select("id", F.explode("keys").alias("band"))
+    near = banded.toDF("a", "band").join(banded.toDF("b", "band"), "band").where("a < b").select("a", "b").distinct()
+    return _verified(near, t, threshold)
 
-    def least(k: int) -> Column:
-        return F.array_min(F.transform(F.col("h"), lambda x: F.xxhash64(x, F.lit(k))))
 
-    mins = [least(k) for k in range(bands * rows)]
-    keys = F.array(*(F.xxhash64(F.lit(b), *mins[b * rows : (b + 1) * rows]) for b in range(bands)))
-    banded = t.select("id", h.alias("h")).select("id", F.explode(keys).alias("band"))
-    near = banded.toDF("a", "band").join(banded.toDF("b", "band"), "band").where("a < b").select("a", "b").distinct()
-    return near.join(t.toDF("a", "wa"), "a").join(t.toDF("b", "wb"), "b").select("a", "b", F.round(_jaccard("wa", "wb"), 6).alias("similarity")).where(F.col("similarity") >= threshold)
+def similar_to_earlier(df: DataFrame, threshold: float = 0.85, bands: int = 32, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(b): ids with a similar text of smaller id in one of their bands.
+
+    First each text is compared with the smallest id of its bands: that settles groups of copies, however large, with one
+    comparison for each text and band. Only those it leaves open meet all smaller ids of their bands.
+    """
+    t = signatures(df, bands, rows, id_col, text_col)
+    banded = t.select("id", F.explode("keys").alias("band"))
+    first = banded.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
+    ties = checkpoint(banded.join(first, "band").select("band", "a", F.col("id").alias("b")))
+    out = checkpoint(_verified(ties.where("a < b").select("a", "b").distinct(), t, threshold).select("b").distinct())
+    rest = ties.where("a < b").join(out, "b", "left_anti").select("band", "b")
+    # Bands of two are settled.
+    open_ = ties.select("band", F.col("b").alias("x"), "a").where("x > a").select("band", F.col("x").alias("a")).join(rest, "band").where("a < b").select("a", "b").distinct()
+    return out.union(_verified(open_, t, threshold).select("b").distinct())
 
 
 def drop_similar(df: DataFrame, threshold: float = 0.85, exact_greedy: bool = False, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
@@ -89,13 +137,13 @@ def drop_similar(df: DataFrame, threshold: float = 0.85, exact_greedy: bool = Fa
     """
     # Texts of one word set are similar to the same texts: the first stands for them, and the others go.
     key = F.sha2(F.encode(F.array_join(F.array_sort(word_set(F.col(text_col))), " "), "UTF-8"), 256)
-    sets = df.where(F.size(word_set(F.col(text_col))) > 0).groupBy(key.alias("__key")).agg(F.min(id_col).alias("__first"), F.collect_list(id_col).alias("__ids"))
-    copies = checkpoint(sets.where(F.size("__ids") > 1).select("__first", F.explode("__ids").alias(id_col)).where(F.col(id_col) != F.col("__first")).select(id_col))
-    df = df.join(copies, id_col, "left_anti")
-    pairs = minhash_pairs(df, threshold, id_col=id_col, text_col=text_col, **parameters).select("a", "b")
+    sets = checkpoint(df.select(F.col(id_col).alias("__id"), F.when(F.size(word_set(F.col(text_col))) > 0, key).alias("__key")))
+    first = sets.where("__key is not null").groupBy("__key").agg(F.min("__id").alias("__first"))
+    stay = checkpoint(sets.join(first, "__key", "left").where("__first is null or __first = __id").select("__id").distinct())
+    df = df.join(stay, F.col(id_col) == F.col("__id"), "left_semi")
     if not exact_greedy:
-        return df.join(pairs.select(F.col("b").alias(id_col)), id_col, "left_anti")
-    pairs, dropped = checkpoint(pairs), None
+        return df.join(similar_to_earlier(df, threshold, id_col=id_col, text_col=text_col, **parameters).select(F.col("b").alias("__b")), F.col(id_col) == F.col("__b"), "left_anti")
+    pairs, dropped = checkpoint(minhash_pairs(df, threshold, id_col=id_col, text_col=text_col, **parameters).select("a", "b")), None
     rest = pairs
     while True:
         # Kept for certain: predecessors that are nobody's successor among the open pairs.

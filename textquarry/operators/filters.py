@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textquarry.functions import text as T
@@ -73,14 +76,21 @@ _STOP = {
 def detect_language(text: Column) -> Column:
     """The language with most stop words among a text's words; "unknown" below 20 characters or without any.
 
-    Ties go to the alphabetically first language.
+    Ties go to the alphabetically first language. Words are split and looked up batch by batch.
     """
-    w = T.words(F.lower(text))
-
-    def score(lang: str) -> Column:
-        return F.struct(F.size(F.filter(w, lambda x: x.isin(_STOP[lang].split()))).alias("n"), F.lit(lang).alias("lang"))
-
-    scored = [score(lang) for lang in sorted(_STOP)]
-    best = F.array_max(F.transform(F.array(*scored), lambda x: x["n"]))
-    first = F.element_at(F.filter(F.array(*scored), lambda x: x["n"] == best), 1)["lang"]
-    return F.when((F.length(text) < 20) | (best == 0), "unknown").otherwise(first)
+    langs = sorted(_STOP)
+    listed = sorted({w for ws in _STOP.values() for w in ws.split()})
+    member = np.array([[w in _STOP[lang].split() for lang in langs] for w in listed])
+
+    @F.arrow_udf("string")
+    def run(t: pa.Array) -> pa.Array:
+        words = pc.utf8_split_whitespace(pc.utf8_lower(t))
+        n = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        at = pc.fill_null(pc.index_in(words.flatten(), value_set=pa.array(listed)), -1).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(t)), n)[at >= 0]
+        score = np.stack([np.bincount(row, weights=member[at[at >= 0], k], minlength=len(t)) for k in range(len(langs))], axis=1)
+        best = pa.array(langs).take(pa.array(score.argmax(axis=1) if len(t) else np.zeros(0, np.int64)))
+        known = (score.max(axis=1, initial=0) > 0) & (pc.fill_null(pc.utf8_length(t), 0).to_numpy(zero_copy_only=False) >= 20)
+        return pc.if_else(pa.array(known), best, "unknown")
+
+    return run(text)

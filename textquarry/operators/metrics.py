@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textquarry.functions import text as T
+from textquarry.functions import arrow as A, text as T
 from textquarry.operators import stats
 
 SPECIAL = ("[PAD]", "[UNK]", "[BOS]", "[EOS]", "[MASK]")
@@ -28,7 +28,11 @@ def compression(tok: DataFrame) -> DataFrame:
     """Characters per token: over all, and of each text (mean, median, sample deviation, least, greatest)."""
     n = F.size("tokens")
     r = tok.select(F.length("text").alias("c"), n.alias("n"), F.when(n > 0, F.length("text") / n).otherwise(0.0).alias("r"))
-    return r.agg(F.round(F.sum("c") / F.sum("n"), 6).alias("total_ratio"), F.round(F.avg("r"), 6).alias("mean_ratio"), F.round(F.median("r"), 6).alias("median_ratio"), F.round(F.stddev_samp("r"), 6).alias("std_ratio"), F.round(F.stddev_pop("r"), 6).alias("std_pop_ratio"), F.round(F.min("r"), 6).alias("min_ratio"), F.round(F.max("r"), 6).alias("max_ratio"))
+    # The median is that of the ratios to six digits, counted before: few distinct values, whatever the number of texts.
+    r = r.groupBy(F.round("r", 6).alias("r6")).agg(F.count("*").alias("k"), F.sum("c").alias("c"), F.sum("n").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q"), F.min("r").alias("lo"), F.max("r").alias("hi"))
+    k, s, q = F.sum("k"), F.sum("s"), F.sum("q")
+    spread = F.greatest(q - s * s / k, F.lit(0.0))
+    return r.agg(F.round(F.sum("c") / F.sum("n"), 6).alias("total_ratio"), F.round(s / k, 6).alias("mean_ratio"), F.round(F.percentile("r6", F.lit(0.5), F.col("k")), 6).alias("median_ratio"), F.round(F.when(k > 1, F.sqrt(spread / (k - 1))), 6).alias("std_ratio"), F.round(F.sqrt(spread / k), 6).alias("std_pop_ratio"), F.round(F.min("lo"), 6).alias("min_ratio"), F.round(F.max("hi"), 6).alias("max_ratio"))
 
 
 def token_frequency(tok: DataFrame) -> DataFrame:
@@ -81,8 +85,7 @@ def coverage(tok: DataFrame, unk: str = "[UNK]") -> DataFrame:
 
 def diversity(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each text's lower-case words: type/token ratio, share of words used once, Shannon entropy, Simpson index."""
-    w = df.select(F.col(id_col), F.explode(T.words(F.lower(F.col(text_col)))).alias("w")).groupBy(id_col, "w").agg(F.count("*").alias("n"))
-    s = w.groupBy(id_col).agg(F.sum("n").alias("total"), F.count("*").alias("types"), F.count_if(F.col("n") == 1).alias("once"), F.sum(F.col("n") * F.log2("n")).alias("x"), F.sum(F.col("n") * (F.col("n") - 1)).alias("y"))
+    s = A.diversity(df, T.words(F.lower(F.col(text_col))), id_col)
     t = F.col("total")
     return s.select(id_col, "total", F.round(F.col("types") / t, 6).alias("ttr"), F.round(F.col("once") / F.col("types"), 6).alias("hapax"), F.round(F.log2(t) - F.col("x") / t, 5).alias("entropy"), F.round(F.when(t > 1, 1 - F.col("y") / (t * (t - 1))).otherwise(0.0), 6).alias("simpson"))
 
@@ -175,6 +178,61 @@ def evaluate(tok: DataFrame, names: list[str] | None = None, extra: dict[str, Ca
     return {n: known[n](tok) for n in (names or known)}
 
 
+def rare_examples(tok: DataFrame, at_most: int = 2, k: int = 20) -> DataFrame:
+    """(token, n): the k rarest tokens; ties in order of the token."""
+    return token_counts(tok).where(F.col("n") <= at_most).orderBy("n", "token").limit(k)
+
+
+def unk_examples(tok: DataFrame, unk: str = "[UNK]", k: int = 10, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, unk, tokens, rate): the k texts with the highest share of unknown tokens."""
+    n, u = F.size("tokens"), F.size(F.filter("tokens", lambda t: t == unk))
+    r = tok.select(id_col, u.alias("unk"), n.alias("tokens")).where("unk > 0")
+    return r.orderBy(F.desc(F.col("unk") / F.col("tokens")), id_col).limit(k).withColumn("rate", F.round(F.col("unk") / F.col("tokens"), 6))
+
+
+def quality(tok: DataFrame, reference: DataFrame) -> DataFrame:
+    """One row: a tokenization beside that of a reference tokenizer over the same texts.
+
+    Characters per token of both and their ratio, distinct tokens of both, the share of ours that the reference uses too, and tokens
+    for each token of the reference.
+    """
+    total = lambda t: t.agg(F.sum(F.length("text")).alias("c"), F.sum(F.size("tokens")).alias("n"))
+    kinds = lambda t: t.select(F.explode("tokens").alias("token")).distinct()
+    a, b = kinds(tok), kinds(reference)
+    x = total(tok).toDF("ca", "na").crossJoin(total(reference).toDF("cb", "nb"))
+    both = a.withColumn("x", F.lit(1)).join(b.withColumn("y", F.lit(1)), "token", "full").agg(F.count("x").alias("va"), F.count("y").alias("vb"), F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("sh"))
+    ra, rb = F.col("ca") / F.col("na"), F.col("cb") / F.col("nb")
+    return x.crossJoin(both).select(F.round(ra, 6).alias("chars_per_token"), F.round(rb, 6).alias("reference_chars_per_token"), F.round(ra / rb, 6).alias("compression_vs_reference"), F.col("va").alias("distinct_tokens"), F.col("vb").alias("reference_distinct_tokens"), F.round(F.col("sh") / F.col("va"), 6).alias("shared_with_reference"), F.round(F.col("na") / F.col("nb"), 6).alias("tokens_vs_reference"))
+
+
+def speed(df: DataFrame, encode: Callable[[Column], Column], decode: Callable[[Column], Column] | None = None, repeats: int = 3, text_col: str = "text") -> dict:
+    """Characters and tokens a second of encoding (and of decoding) the whole table, the mean of some runs; nothing is kept of the results."""
+    import time
+
+    size = df.agg(F.sum(F.length(text_col)).alias("c"), F.sum(F.size(encode(F.col(text_col)))).alias("n")).first()
+    out = {"chars": size.c or 0, "tokens": size.n or 0}
+    steps = {"encode": df.select(encode(F.col(text_col)).alias("ids"))}
+    if decode is not None:
+        steps["decode"] = df.select(decode(encode(F.col(text_col))).alias("text"))
+    for name, plan in steps.items():
+        took = []
+        for _ in range(repeats):
+            began = time.perf_counter()
+            plan.write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - began)
+        mean = sum(took) / len(took)
+        out |= {f"{name}_seconds": mean, f"{name}_chars_per_second": out["chars"] / mean, f"{name}_tokens_per_second": out["tokens"] / mean}
+    return out
+
+
+def roundtrip(df: DataFrame, encode: Callable[[Column], Column], decode: Callable[[Column], Column], category: str | None = None, text_col: str = "text") -> DataFrame:
+    """(category, texts, exact, exact_percent, tokens, chars_per_token) by category and over all (a null category)."""
+    x = df.select(F.col(category).alias("category") if category else F.lit(None).cast("string").alias("category"), F.col(text_col).alias("t"), encode(F.col(text_col)).alias("ids"))
+    x = x.select("category", F.length("t").alias("c"), F.size("ids").alias("n"), (decode(F.col("ids")) == F.col("t")).alias("same"))
+    out = x.rollup("category") if category else x.groupBy("category")
+    return out.agg(F.count("*").alias("texts"), F.count_if("same").alias("exact"), F.round(100 * F.count_if("same") / F.count("*"), 4).alias("exact_percent"), F.sum("n").alias("tokens"), F.round(F.sum("c") / F.sum("n"), 6).alias("chars_per_token"))
+
+
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two tokenizations of the same texts side by side: ratios and their difference."""
     x, y = compression(a).select(F.col("total_ratio").alias("ratio_a")), compression(b).select(F.col("total_ratio").alias("ratio_b"))

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from textquarry.functions.shared import checkpoint
+from textquarry.functions.shared import checkpoint, small
 
 
 def union_sources(frames: dict[str, DataFrame], name: str = "source") -> DataFrame:
@@ -81,6 +81,7 @@ def weighted_sample(df: DataFrame, weights: dict[str, float], n: int, seed: int
     rows = df.where(F.col(source_col).isin(list(weights)))
     placed = with_position(rows, [source_col, id_col], "__p")
     sizes = placed.groupBy(source_col).agg(F.count("*").alias("__n"), F.min("__p").alias("__start"))
-    numbered = placed.join(F.broadcast(sizes), source_col).withColumn("__k", F.col("__p") - F.col("__start")).drop("__p", "__n", "__start")
-    picked = draws.join(F.broadcast(sizes), source_col).select("draw", source_col, F.floor(F.col("__u") * F.col("__n")).alias("__k"))
+    sizes = small(sizes)
+    numbered = placed.join(sizes, source_col).withColumn("__k", F.col("__p") - F.col("__start")).drop("__p", "__n", "__start")
+    picked = draws.join(sizes, source_col).select("draw", source_col, F.floor(F.col("__u") * F.col("__n")).alias("__k"))
     return numbered.join(picked, [source_col, "__k"]).drop("__k")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textquarry.functions import text as T
+from textquarry.functions import arrow as A, text as T
 
 
 def row_stats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -45,7 +45,7 @@ def top(counts: DataFrame, k: int, key: str, n: str = "n") -> DataFrame:
 
 
 def char_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    return df.select(F.explode(T.chars(F.col(text_col))).alias("ch")).groupBy("ch").agg(F.count("*").alias("n"))
+    return A.char_counts(df, text_col)
 
 
 def text_stats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,14 +10,16 @@ import heapq
 import json
 import math
 import unicodedata
-from collections import Counter, defaultdict
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from textquarry.functions import text as T
+from textquarry.functions import arrow as A, text as T
+from textquarry.functions.shared import checkpoint, small
+from textquarry.operators import bpe_training
+from textquarry.operators.filters import detect_language
 
 SPECIAL = {"pad": "[PAD]", "unk": "[UNK]", "bos": "[BOS]", "eos": "[EOS]", "mask": "[MASK]"}
 MAX_WORD = 100
@@ -27,7 +29,7 @@ MAX_WORD = 100
 
 
 def byte_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    return df.select(F.explode(T.byte_values(F.col(text_col))).alias("byte")).groupBy("byte").agg(F.count("*").alias("n"))
+    return A.byte_counts(df, text_col)
 
 
 def pretoken_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -41,9 +43,7 @@ def symbol_counts(pieces: DataFrame) -> DataFrame:
 
 def pair_counts(pieces: DataFrame) -> DataFrame:
     """(left, right, n): neighbouring bytes within pieces."""
-    b = T.byte_values(F.col("piece"))
-    pairs = F.arrays_zip(F.slice("b", F.lit(1), F.greatest(F.size("b") - 1, F.lit(0))).alias("left"), F.slice("b", F.lit(2), F.size("b")).alias("right"))
-    return pieces.select(b.alias("b"), "n").select(F.explode(pairs).alias("p"), "n").groupBy(F.col("p.left").alias("left"), F.col("p.right").alias("right")).agg(F.sum("n").alias("n"))
+    return A.pair_counts(pieces)
 
 
 def pair_scores(pieces: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def frequency_vocabulary(df: DataFrame, size: int = 1000, pattern: str = "[\\p{L
 def encode_with_vocabulary(df: DataFrame, vocab: DataFrame, pattern: str, unk_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, pos, token, id): a left join with the vocabulary, unknown tokens get the unknown id."""
     tok = df.select(id_col, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), 0)).alias("pos", "token"))
-    return tok.join(F.broadcast(vocab.select("token", "id")), "token", "left").select(id_col, "pos", "token", F.coalesce("id", F.lit(unk_id)).alias("id"))
+    return tok.join(small(vocab.select("token", "id")), "token", "left").select(id_col, "pos", "token", F.coalesce("id", F.lit(unk_id)).alias("id"))
 
 
 def merged_vocabulary(children: dict[str, DataFrame], special: tuple[str, ...] = tuple(SPECIAL.values())) -> DataFrame:
@@ -147,6 +147,14 @@ class ByteLevel:
         pairs = F.transform(F.filter(ids, lambda i: i.between(0, 255)), lambda i: F.lpad(F.hex(i.cast("long")), 2, "0"))
         return F.decode(F.unhex(F.array_join(pairs, "")), "UTF-8")
 
+    def save(self) -> str:
+        return json.dumps({"kind": "byte_level", "vocab_size": self.vocab_size, "add_prefix_space": self.add_prefix_space, "special": self.special})
+
+    @classmethod
+    def load(cls, saved: str) -> ByteLevel:
+        d = json.loads(saved)
+        return cls(d["vocab_size"], d["add_prefix_space"], tuple(d["special"]))
+
     def vocabulary(self, spark: SparkSession) -> DataFrame:
         rows = [(chr(b) if 32 <= b < 127 else f"<byte_{b}>", b) for b in range(256)]
         return spark.createDataFrame([*rows, *self.special_ids().items()], "token string, id int")
@@ -158,49 +166,53 @@ class Bpe:
 
     merges: list[tuple[bytes, bytes]]
     special: tuple[str, ...] = tuple(SPECIAL.values())
-    _cache: dict = field(default_factory=dict, repr=False, compare=False)
 
     def __post_init__(self):
-        self.rank = {p: k for k, p in enumerate(self.merges)}
         self.ids = {bytes([b]): b for b in range(256)}
         for a, b in self.merges:
             self.ids.setdefault(a + b, len(self.ids))
         self.tokens = {i: t for t, i in self.ids.items()}
-
-    def __getstate__(self):
-        return self.__dict__ | {"_cache": {}}
+        self.made = [self.ids[a + b] for a, b in self.merges]
+        self.ranks: dict[tuple[int, int], int] = {}
+        for k, (a, b) in enumerate(self.merges):
+            self.ranks.setdefault((self.ids[a], self.ids[b]), k)
 
     @classmethod
     def train(cls, df: DataFrame, merges: int = 200, min_frequency: int = 2, mode: str = "exact", text_col: str = "text") -> Bpe:
         """``exact``: classical merges on distinct pieces with counts. ``approx``: pair counts alone, never re-segmented.
 
-        Pieces are counted in Spark; those seen once weigh little and are left out when ``min_frequency`` is above 1, as no
-        pair they alone hold can be merged. Ties: the pair of least bytes.
+        Pieces are counted in Spark, and none is left out but those of one byte, which have no pair. Ties: the pair of least bytes.
         """
         if mode == "approx":
             return cls(_approximate_merges(pair_counts(pretoken_counts(df, text_col)).collect(), merges, min_frequency))
-        return cls(_exact_merges(pretoken_counts(df, text_col).where(F.length("piece") > 1).collect(), merges, min_frequency))
-
-    def _piece(self, piece: str) -> list[int]:
-        got = self._cache.get(piece)
-        if got is None:
-            if len(self._cache) > 200_000:
-                self._cache.clear()
-            parts = [bytes([b]) for b in piece.encode("utf-8", "surrogatepass")]
-            while len(parts) > 1:
-                best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 60))
-                if (parts[best], parts[best + 1]) not in self.rank:
-                    break
-                parts[best : best + 2] = [parts[best] + parts[best + 1]]
-            got = self._cache[piece] = [self.ids[p] for p in parts]
-        return got
+        return cls(bpe_training.train(pretoken_counts(df, text_col).where(F.octet_length("piece") > 1), merges, min_frequency))
+
+    def piece(self, piece: str) -> list[int]:
+        """Ids of one piece: the merge of lowest rank first, leftmost among equals; a heap, so a long piece costs n log n."""
+        ids = list(piece.encode("utf-8", "surrogatepass"))
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        heap = [(r, i) for i in range(len(ids) - 1) if (r := self.ranks.get((ids[i], ids[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= len(ids) or self.ranks.get((ids[i], ids[j])) != rank:
+                continue
+            ids[i], ids[j] = self.made[rank], -1
+            after[i] = k = after[j]
+            if k < len(ids):
+                before[k] = i
+            for x, y in ((before[i], i), (i, k)):
+                if x >= 0 and y < len(ids) and (r := self.ranks.get((ids[x], ids[y]))) is not None:
+                    heapq.heappush(heap, (r, x))
+        return [i for i in ids if i >= 0]
 
     def encode(self, text: Column) -> Column:
         """Pieces are split natively; only distinct ones are merged, remembered within a task."""
-        return _mapped("array<int>", lambda pieces: [i for p in pieces for i in self._piece(p)])(T.pretokens(text))
+        return A.by_piece("array<int>", self.piece)(T.pretokens(text))
 
     def decode(self, ids: Column) -> Column:
-        return _mapped("string", lambda x: b"".join(self.tokens.get(int(i), b"") for i in x).decode("utf-8", "replace"))(ids)
+        return A.join_tokens(self.tokens)(ids)
 
     def vocabulary(self, spark: SparkSession) -> DataFrame:
         rows = [(t.decode("latin-1"), i) for t, i in self.ids.items()]
@@ -215,52 +227,6 @@ class Bpe:
         return cls([(bytes.fromhex(a), bytes.fromhex(b)) for a, b in d["merges"]], tuple(d["special"]))
 
 
-def _exact_merges(rows: list, merges: int, least: int) -> list[tuple[bytes, bytes]]:
-    words = [[bytes([b]) for b in r["piece"].encode("utf-8", "surrogatepass")] for r in rows]
-    freq = [r["n"] for r in rows]
-    count: Counter = Counter()
-    where: dict[tuple, set[int]] = defaultdict(set)
-    for w, (parts, n) in enumerate(zip(words, freq)):
-        for p in zip(parts, parts[1:]):
-            count[p] += n
-            where[p].add(w)
-    heap = [(-n, p) for p, n in count.items()]
-    heapq.heapify(heap)
-    out: list[tuple[bytes, bytes]] = []
-    while heap and len(out) < merges:
-        n, pair = heapq.heappop(heap)
-        if -n != count.get(pair, 0):
-            continue
-        if -n < least:
-            break
-        out.append(pair)
-        changed = set()
-        for w in where.pop(pair, ()):
-            parts, i, new = words[w], 0, []
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    new.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    new.append(parts[i])
-                    i += 1
-            if len(new) == len(parts):
-                continue
-            for p in zip(parts, parts[1:]):
-                count[p] -= freq[w]
-                changed.add(p)
-            for p in zip(new, new[1:]):
-                count[p] += freq[w]
-                where[p].add(w)
-                changed.add(p)
-            words[w] = new
-        count.pop(pair, None)
-        for p in changed:
-            if p != pair and count[p] > 0:
-                heapq.heappush(heap, (-count[p], p))
-    return out
-
-
 def _approximate_merges(rows: list, merges: int, least: int) -> list[tuple[bytes, bytes]]:
     """Merges from pair counts alone: a merged pair hands its whole count on to the pairs around it."""
     count = {(bytes([r["left"]]), bytes([r["right"]])): r["n"] for r in rows}
@@ -314,19 +280,20 @@ class WordPiece:
                 return [self.unk]
         return out
 
-    def tokenize(self, text: Column) -> Column:
-        def one(words):
-            out = []
-            for w in words:
-                if self.strip_accents:
-                    w = "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c))
-                out += self.pieces(w)
-            return out
+    def _words(self, text: Column) -> Column:
+        return T.words(F.lower(text) if self.lower else text)
 
-        return _mapped("array<string>", one)(T.words(F.lower(text) if self.lower else text))
+    def _pieces(self, word: str) -> list[str]:
+        if self.strip_accents:
+            word = "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+        return self.pieces(word)
+
+    def tokenize(self, text: Column) -> Column:
+        return A.by_piece("array<string>", self._pieces)(self._words(text))
 
     def encode(self, text: Column) -> Column:
-        return _mapped("array<int>", lambda w: [self.ids.get(p, self.ids.get(self.unk, 1)) for x in w for p in self.pieces(x)])(T.words(F.lower(text) if self.lower else text))
+        unk = self.ids.get(self.unk, 1)
+        return A.by_piece("array<int>", lambda w: [self.ids.get(p, unk) for p in self._pieces(w)])(self._words(text))
 
     def decode(self, ids: Column, glue: bool = True) -> Column:
         """Pieces glued to words; with ``glue=False`` continuations stand apart from a word's first piece."""
@@ -348,12 +315,12 @@ class WordPiece:
         return spark.createDataFrame([(t, k) for k, t in enumerate(self.tokens)], "token string, id int")
 
     def save(self) -> str:
-        return json.dumps({"kind": "wordpiece", "tokens": self.tokens, "unk": self.unk, "lower": self.lower})
+        return json.dumps({"kind": "wordpiece", "tokens": self.tokens, "unk": self.unk, "lower": self.lower, "strip_accents": self.strip_accents})
 
     @classmethod
     def load(cls, saved: str) -> WordPiece:
         d = json.loads(saved)
-        return cls(d["tokens"], d["unk"], d["lower"])
+        return cls(d["tokens"], d["unk"], d["lower"], d.get("strip_accents", False))
 
 
 @dataclass
@@ -373,13 +340,13 @@ class Unigram:
         """Hard EM: segments (distinct words with counts) are cut with the current scores in Spark, pieces counted again,
         and the least useful dropped until ``size`` is met. Usefulness is count times the loss of log
         likelihood; ``evict_frequent`` drops the pieces of least log p times count instead. Single characters stay."""
-        words = df.select(F.explode(T.words(F.col(text_col))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+        words = checkpoint(df.select(F.explode(T.words(F.col(text_col))).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
         found = unigram_candidates(words).orderBy(F.desc("n"), F.length("piece"), "piece")
         counts = {r["piece"]: r["n"] for r in found.limit(candidates).collect()} | {r["piece"]: r["n"] for r in found.where(F.length("piece") == 1).collect()}
         for step in range(iterations):
             total = sum(counts.values())
             model = cls({p: math.log(max(n, 0.5) / total) for p, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))})
-            again = words.select(F.explode(_mapped("array<string>", model.segment)(F.col("word"))).alias("piece"), "n").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+            again = words.select(F.explode(A.by_piece("array<string>", model.segment)(F.array("word"))).alias("piece"), "n").groupBy("piece").agg(F.sum("n").alias("n")).collect()
             new = {r["piece"]: r["n"] for r in again if r["piece"] in counts}
             counts = {p: new.get(p, 0) for p in counts if new.get(p, 0) or len(p) == 1}
             excess = len(counts) - size
@@ -408,13 +375,13 @@ class Unigram:
         return out[::-1]
 
     def encode(self, text: Column) -> Column:
-        return _mapped("array<int>", lambda w: [self.ids.get(p, 0) for x in w for p in self.segment(x)])(T.words(text))
+        return A.by_piece("array<int>", lambda w: [self.ids.get(p, 0) for p in self.segment(w)])(T.words(text))
 
     def tokenize(self, text: Column) -> Column:
-        return _mapped("array<string>", lambda w: [p for x in w for p in self.segment(x)])(T.words(text))
+        return A.by_piece("array<string>", self.segment)(T.words(text))
 
     def decode(self, ids: Column) -> Column:
-        return _mapped("string", lambda x: "".join(self.tokens.get(int(i), self.unk) for i in x))(ids)
+        return A.join_tokens({i: t.encode("utf-8", "surrogatepass") for i, t in self.tokens.items()}, self.unk.encode())(ids)
 
     def vocabulary(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.ids.items()), "token string, id int")
@@ -441,44 +408,66 @@ class Mixed:
         return F.when(name.isin(list(self.children)), name).otherwise(self.default)
 
     def encode(self, df: DataFrame, text_col: str = "text") -> DataFrame:
-        """With columns ``tokenizer`` and ``ids``; each row is encoded by its own tokenizer only."""
+        """With columns ``tokenizer`` and ``ids``; the input is read once, and each tokenizer gets its own rows' texts only."""
         routed = df.withColumn("tokenizer", self.route(F.col(text_col)))
-        parts = [routed.where(F.col("tokenizer") == n).withColumn("ids", c.encode(F.col(text_col))) for n, c in self.children.items()]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        own = lambda n: F.when(F.col("tokenizer") == n, F.col(text_col))
+        return routed.withColumn("ids", F.coalesce(*(c.encode(own(n)) for n, c in self.children.items())))
 
     def decode(self, df: DataFrame, out_col: str = "decoded") -> DataFrame:
-        parts = [df.where(F.col("tokenizer") == n).withColumn(out_col, c.decode(F.col("ids"))) for n, c in self.children.items()]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        own = lambda n: F.when(F.col("tokenizer") == n, F.col("ids"))
+        return df.withColumn(out_col, F.coalesce(*(c.decode(own(n)) for n, c in self.children.items())))
 
+    def vocabulary(self, spark: SparkSession) -> DataFrame:
+        return merged_vocabulary({n: c.vocabulary(spark) for n, c in self.children.items()}).withColumnRenamed("label", "token")
 
-def length_router(limits: list[tuple[int, str]], default: str) -> Callable[[Column], Column]:
-    """The name with the smallest limit that the text's length doesn't pass."""
+    def save(self) -> str:
+        if not isinstance(self.router, Router):
+            raise ValueError("only a Mixed with one of this module's routers can be saved: another router is code")
+        return json.dumps({"kind": "mixed", "children": {n: json.loads(c.save()) for n, c in self.children.items()}, "router": self.router.__dict__, "default": self.default})
+
+    @classmethod
+    def load(cls, saved: str) -> Mixed:
+        d = json.loads(saved)
+        r = d["router"]
+        return cls({n: load(json.dumps(c)) for n, c in d["children"].items()}, Router(r["kind"], [tuple(x) for x in r["rules"]], r["default"]), d["default"])
 
-    def route(text: Column) -> Column:
-        out = F.lit(default)
-        for limit, name in sorted(limits, reverse=True):
-            out = F.when(F.length(text) <= limit, name).otherwise(out)
+
+@dataclass
+class Router:
+    """Names the tokenizer of each text: by length, by pattern, or by language."""
+
+    kind: str
+    rules: list[tuple]
+    default: str
+
+    def __call__(self, text: Column) -> Column:
+        out = F.lit(self.default)
+        if self.kind == "length":
+            for limit, name in sorted(self.rules, reverse=True):
+                out = F.when(F.length(text) <= limit, name).otherwise(out)
+        elif self.kind == "regex":
+            for pattern, name in reversed(self.rules):
+                out = F.when(text.rlike(pattern), name).otherwise(out)
+        else:
+            language = detect_language(text)
+            for code, name in reversed(self.rules):
+                out = F.when(language == code, name).otherwise(out)
         return out
 
-    return route
+
+def length_router(limits: list[tuple[int, str]], default: str) -> Router:
+    """The name with the smallest limit that the text's length doesn't pass."""
+    return Router("length", limits, default)
 
 
-def regex_router(rules: list[tuple[str, str]], default: str) -> Callable[[Column], Column]:
+def regex_router(rules: list[tuple[str, str]], default: str) -> Router:
     """The name of the first pattern that is found."""
+    return Router("regex", rules, default)
 
-    def route(text: Column) -> Column:
-        out = F.lit(default)
-        for pattern, name in reversed(rules):
-            out = F.when(text.rlike(pattern), name).otherwise(out)
-        return out
 
-    return route
+def language_router(names: dict[str, str], default: str) -> Router:
+    """The name for the text's detected language."""
+    return Router("language", list(names.items()), default)
 
 
 BUILDERS: dict[str, Callable] = {"byte_level": lambda df, **k: ByteLevel(**k), "bpe": Bpe.train, "wordpiece": WordPiece.train, "unigram": Unigram.train}
@@ -492,4 +481,4 @@ def build(kind: str, df: DataFrame | None = None, **parameters):
 
 
 def load(saved: str):
-    return {"bpe": Bpe, "wordpiece": WordPiece, "unigram": Unigram}[json.loads(saved)["kind"]].load(saved)
+    return {"byte_level": ByteLevel, "bpe": Bpe, "wordpiece": WordPiece, "unigram": Unigram, "mixed": Mixed}[json.loads(saved)["kind"]].load(saved)

@@ -43,7 +43,14 @@ def _(spark, d):
     return D.jaccard_pairs(docs(spark, d), 0.7)
 
 
-@query("dedup_minhash")
+#: All pairs compared exactly: at this similarity 32 bands of 4 rows miss a pair with a probability below 1e-10.
+_SIMILAR = f"""WITH t AS (SELECT doc_id, {_WS} AS w FROM documents WHERE text <> ''), k AS (SELECT min(doc_id) AS doc_id, list_sort(w) AS w FROM t WHERE len(w) > 0 GROUP BY 2),
+s AS (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM k),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM s a JOIN s b ON a.word = b.word AND a.doc_id < b.doc_id AND a.n >= 0.85 * b.n AND b.n >= 0.85 * a.n GROUP BY ALL)
+SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM t WHERE len(w) > 0 AND doc_id NOT IN (SELECT doc_id FROM k)) AND doc_id NOT IN (SELECT b FROM c WHERE round(k / (na + nb - k), 6) >= 0.85)"""
+
+
+@query("dedup_minhash", _SIMILAR)
 def _(spark, d):
     return D.drop_similar(docs(spark, d), 0.85).select("doc_id", "text")
 
@@ -95,7 +102,11 @@ def _(spark, d):
     return SA.with_position(docs(spark, d).select("doc_id", SA.shuffle_key(42).alias("k")), ["k", "doc_id"]).drop("k")
 
 
-@query("weighted_sample")
+def _chance(tag):
+    return f"('0x' || substr(md5('42:{tag}:' || draw), 1, 12))::BIGINT / 281474976710656.0"
+
+
+@query("weighted_sample", f"WITH d AS (SELECT draw, CASE WHEN {_chance('s')} < 0.6 THEN 'src0' WHEN {_chance('s')} < 0.8 THEN 'src1' ELSE 'src2' END AS source, {_chance('r')} AS u FROM range(500) r(draw)), x AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE source IN ('src0', 'src1', 'src2')) SELECT source, doc_id, draw FROM d JOIN x USING (source) WHERE k = floor(u * n)")
 def _(spark, d):
     return SA.weighted_sample(docs(spark, d).select("doc_id", "source"), {"src0": 3, "src1": 1, "src2": 1}, 500)
 
@@ -116,7 +127,7 @@ def _folder(spark):
 def _(spark, d):
     path = _folder(spark)
     WR.jsonl(docs(spark, d).select("doc_id", "text", "lang"), path, metadata={"name": "documents"})
-    return R.bounded(R.jsonl(spark, f"{path}/part-*", schema="doc_id long, text string, lang string")).select("doc_id", "text", "lang")
+    return R.bounded(R.jsonl(spark, path, schema="doc_id long, text string, lang string")).select("doc_id", "text", "lang")
 
 
 @query("csv_roundtrip", "SELECT doc_id, text, lang FROM documents WHERE text <> ''")
@@ -130,7 +141,7 @@ def _(spark, d):
 def _(spark, d):
     path = _folder(spark)
     WR.txt(docs(spark, d).where("text <> ''"), path, separator="\x1e")
-    return spark.read.option("lineSep", "\x1e").text(path).select(F.col("value").alias("text"))
+    return R.text_files(spark, path, by_line=True, separator="\x1e").select("text")
 
 
 @query("json_path_events", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")

@@ -129,7 +129,16 @@ def _(spark, d):
     return FL.reject_stats(docs(spark, d), FL.FilterConfig(min_length=100, min_words=30, excluded_words=["license"], excluded_patterns=["[0-9]{5,}"], languages=["en", "fr"]))
 
 
-@query("detect_language")
+def _listed(text):
+    w = f"list_filter(string_split_regex(lower({text}), '\\s+'), lambda w: w <> '')"
+    n = {lang: "len(list_filter(" + w + ", lambda w: w IN (" + ", ".join(f"'{x}'" for x in words.split()) + ")))" for lang, words in sorted(FL._STOP.items())}
+    return ", ".join(f"{x} AS {lang}" for lang, x in n.items())
+
+
+_BEST = "greatest(" + ", ".join(sorted(FL._STOP)) + ")"
+
+
+@query("detect_language", f"SELECT doc_id, lang, CASE WHEN length(text) < 20 OR {_BEST} = 0 THEN 'unknown' " + " ".join(f"WHEN {lang} = {_BEST} THEN '{lang}'" for lang in sorted(FL._STOP)) + f" END AS detected FROM (SELECT doc_id, lang, text, {_listed('text')} FROM documents)")
 def _(spark, d):
     return docs(spark, d).select("doc_id", "lang", FL.detect_language(F.col("text")).alias("detected"))
 
@@ -146,18 +155,25 @@ def _cleaned(name, step, sql, source="documents", key="doc_id", column="text"):
 _cleaned("clean_whitespace", T.squeeze, "trim(regexp_replace({0}, '\\s+', ' ', 'g'))")
 _cleaned("clean_urls_pages", T.replace_urls, "regexp_replace({0}, 'https?://\\S+|www\\.\\S+', ' [URL] ', 'g')", "pages", "page_id", "html")
 _cleaned("clean_emails", T.replace_emails, "regexp_replace({0}, '\\S+@\\S+\\.\\S+', ' [EMAIL] ', 'g')")
-_cleaned("clean_numbers", lambda t: F.regexp_replace(t, T.NUMBER, " [NUMBER] "), "regexp_replace({0}, '\\b\\d+(?:\\.\\d+)?(?:[eE][-+]?\\d+)?\\b', ' [NUMBER] ', 'g')")
+_cleaned("clean_numbers", T.replace_numbers, "regexp_replace({0}, '\\b\\d+(?:\\.\\d+)?(?:[eE][-+]?\\d+)?\\b', ' [NUMBER] ', 'g')")
 _cleaned("clean_digits", T.replace_digits, "regexp_replace({0}, '\\d', '0', 'g')")
 _cleaned("clean_currency", T.replace_currency, "regexp_replace({0}, '[$€£¥₹₽₩]', ' [CURRENCY] ', 'g')")
 _cleaned("clean_punct", T.remove_punctuation, "regexp_replace({0}, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g')")
 _cleaned("clean_linebreaks", T.remove_line_breaks, "regexp_replace({0}, '[\\r\\n]+', ' ', 'g')")
 _cleaned("clean_lower", F.lower, "lower({0})")
-_cleaned("clean_truncate", lambda t: F.substring(t, 1, 1000), "substr({0}, 1, 1000)")
+
+
+@query("clean_truncate", "SELECT doc_id, substr(text, 1, 1000) AS text FROM documents WHERE length(text) >= 10")
+def _(spark, d):
+    config = C.CleanConfig(fix_html=False, fix_unicode=False, strip_accents=False, squeeze=False, min_length=10, max_length=1000)
+    return docs(spark, d).transform(C.clean_text(config)).select("doc_id", "text")
+
+
 _cleaned("clean_strip_accents", lambda t: U.fix(t, fix_html=False, nfc=False), "strip_accents({0})")
 _cleaned("clean_custom", lambda t: T.custom_replacements(t, [("([a-z])-([a-z])", "\\1\\2"), ("th(e|at)", "<\\1>")]), "regexp_replace(regexp_replace({0}, '([a-z])-([a-z])', '\\1\\2', 'g'), 'th(e|at)', '<\\1>', 'g')")
 
 
-@query("clean_html_unescape")
+@query("clean_html_unescape", "SELECT page_id, replace(replace(replace(replace(html, '&quot;', chr(34)), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS text FROM pages")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", U.fix(F.col("html"), nfc=False, accents=False).alias("text"))
 
@@ -171,11 +187,11 @@ def _(spark, d):
     return docs(spark, d).transform(C.clean_text(config)).select("doc_id", "text")
 
 
-@query("clean_counts", "SELECT sum(len(regexp_extract_all(text, 'https?://\\S+|www\\.\\S+')))::BIGINT AS urls, sum(len(regexp_extract_all(text, '\\S+@\\S+\\.\\S+')))::BIGINT AS emails, sum(len(regexp_extract_all(text, '[$€£¥₹₽₩]')))::BIGINT AS currency FROM documents")
+@query("clean_counts", "SELECT sum(len(regexp_extract_all(text, 'https?://\\S+|www\\.\\S+')))::BIGINT AS urls, sum(len(regexp_extract_all(text, '\\S+@\\S+\\.\\S+')))::BIGINT AS emails, sum(len(regexp_extract_all(text, '\\b\\d+(?:\\.\\d+)?(?:[eE][-+]?\\d+)?\\b')))::BIGINT AS numbers, sum(len(regexp_extract_all(text, '[$€£¥₹₽₩]')))::BIGINT AS currency FROM documents")
 def _(spark, d):
-    return C.replacement_counts(docs(spark, d)).select("urls", "emails", "currency")
+    return C.replacement_counts(docs(spark, d))
 
 
-@query("normalize_nfkc")
+@query("normalize_nfkc", "SELECT doc_id, regexp_replace(nfc_normalize(text), '[\\x00-\\x1f\\x7f-\\x9f]', '', 'g') AS text FROM documents")
 def _(spark, d):
     return docs(spark, d).select("doc_id", U.normalize(F.col("text"), "nmt_nfkc").alias("text"))

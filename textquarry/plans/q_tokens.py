@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
-from textquarry.functions import text as T
+from textquarry.functions import arrow as A, text as T
 from textquarry.operators import metrics as M, tokenizers as K
-from textquarry.plans.registry import docs, query
+from textquarry.plans.registry import docs, query, table
 
 _BYTES = "list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda b: ('0x' || b)::INTEGER)"
 #: RE2 has no look-ahead: a mark is put where white space before a word is cut, and matched by nothing.
@@ -52,6 +51,58 @@ def _(spark, d):
     return K.Bpe.train(docs(spark, d), 200, mode="approx").vocabulary(spark)
 
 
+_WORD = "SELECT word, count(*) AS n FROM (SELECT unnest(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS word FROM documents) GROUP BY word"
+
+
+#: Merges of a small model whose ids SQL can follow: symbols are <hex>, and each merge in order of rank is a replacement.
+_MERGES = [(a.encode("latin-1"), b.encode("latin-1")) for a, b in (("e", "n"), ("e", "r"), (" ", "d"), ("o", "u"), ("\xc3", "\xa9"), ("en", "t"), (" d", "e"), ("t", "h"), (" ", "th"), (" th", "e"), ("a", "u"), ("e", "au"), ("l", "l"), ("e", "ll"), ("\xc3", "\xbc"), ("er", "e"))]
+
+
+def _ids_sql(text):
+    """A list of the ids of a text under _MERGES."""
+    pieces = _PIECES.replace("regexp_replace(text,", f"regexp_replace({text},")
+    x = "regexp_replace(hex(encode(p)), '(..)', '<\\1>', 'g')"
+    for a, b in _MERGES:
+        x = f"replace({x}, '<{a.hex().upper()}><{b.hex().upper()}>', '<{(a + b).hex().upper()}>')"
+    known = ", ".join(f"'{(a + b).hex().upper()}'" for a, b in _MERGES)
+    one = f"list_transform(regexp_extract_all({x}, '<([0-9A-F]+)>', 1), lambda s: CASE WHEN length(s) = 2 THEN ('0x' || s)::INTEGER ELSE (255 + list_position([{known}], s))::INTEGER END)"
+    return f"flatten(list_transform({pieces}, lambda p: {one}))"
+
+
+def _joined(ids):
+    return F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")
+
+
+@query("bpe_encode", f"SELECT doc_id, array_to_string({_ids_sql('text')}, ',') AS ids FROM documents")
+def _(spark, d):
+    return docs(spark, d).select("doc_id", _joined(K.Bpe(_MERGES).encode(F.col("text"))).alias("ids"))
+
+
+@query("mixed_encode", f"SELECT doc_id, CASE WHEN length(text) <= 500 THEN 'byte' ELSE 'bpe' END AS tokenizer, CASE WHEN length(text) <= 500 THEN array_to_string({_BYTES.format('text')}, ',') ELSE array_to_string({_ids_sql('text')}, ',') END AS ids FROM documents")
+def _(spark, d):
+    model = K.Mixed({"byte": K.ByteLevel(), "bpe": K.Bpe(_MERGES)}, K.length_router([(500, "byte")], "bpe"), "bpe")
+    return model.encode(docs(spark, d).select("doc_id", "text")).select("doc_id", "tokenizer", _joined(F.col("ids")).alias("ids"))
+
+
+#: Log probabilities of a small Unigram model: of all cuts into these pieces the best is taken, the first start among equals.
+_SCORES = {"en": -1.25, "ent": -1.5, "er": -1.75, "ou": -2.0, "the": -1.0, "au": -2.5, "eau": -2.25, "ell": -3.0, "re": -2.75, "tion": -1.125} | {c: -4.0 - k / 64 for k, c in enumerate("eaitnrsoludcmpvhgbfqzjyk")}
+_VITERBI = f"""WITH RECURSIVE wc AS ({_WORD}), m AS (SELECT MAP {{{", ".join(f"'{p}': {s}::DOUBLE" for p, s in _SCORES.items())}}} AS m, MAP {{{", ".join(f"'{p}': {k}" for k, p in enumerate(_SCORES, 1))}}} AS n),
+f(word, i, best, back) AS (SELECT word, 0, [0.0::DOUBLE], [0] FROM wc UNION ALL
+SELECT word, i + 1, list_append(best, CASE WHEN list_max(c) > -1e200 THEN list_max(c) ELSE best[i + 1] - 100 END), list_append(back, CASE WHEN list_max(c) > -1e200 THEN (greatest(0, i - 15) + list_position(c, list_max(c)) - 1)::INTEGER ELSE i END)
+FROM (SELECT word, i, best, back, list_transform(range(greatest(0, i - 15), i + 1), lambda s: best[s + 1] + coalesce(m.m[substr(word, s + 1, i + 1 - s)], '-infinity'::DOUBLE)) AS c FROM f, m WHERE i < length(word))),
+r(word, e, back, ids) AS (SELECT word, length(word)::INTEGER, back, []::INTEGER[] FROM f WHERE i = length(word) UNION ALL
+SELECT word, back[e + 1], back, list_prepend(coalesce(m.n[substr(word, back[e + 1] + 1, e - back[e + 1])], 0)::INTEGER, ids) FROM r, m WHERE e > 0),
+sg AS (SELECT word, array_to_string(ids, ',') AS ids FROM r WHERE e = 0),
+dw AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS ws FROM documents)),
+dt AS (SELECT doc_id, string_agg(ids, ',' ORDER BY pos) AS ids FROM dw JOIN sg USING (word) GROUP BY doc_id)
+SELECT doc_id, coalesce(ids, '') AS ids FROM documents LEFT JOIN dt USING (doc_id)"""
+
+
+@query("unigram_encode", _VITERBI)
+def _(spark, d):
+    return docs(spark, d).select("doc_id", _joined(K.Unigram(_SCORES).encode(F.col("text"))).alias("ids"))
+
+
 _SAME = "SELECT doc_id, text AS decoded FROM documents"
 
 
@@ -83,7 +134,6 @@ def _(spark, d):
     return K.ByteLevel(300).vocabulary(spark)
 
 
-_WORD = "SELECT word, count(*) AS n FROM (SELECT unnest(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS word FROM documents) GROUP BY word"
 _WORDPIECE = f"""wc AS ({_WORD}), wx AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS s FROM wc WHERE length(word) <= 100),
 wy AS (SELECT word, n, s, unnest(range(1, length(word) - s + 2)) AS k FROM wx),
 wt AS (SELECT CASE WHEN s > 1 THEN '##' ELSE '' END || substr(word, s, k) AS token, n FROM wy UNION ALL SELECT unnest(string_split(word, '')), n FROM wc WHERE length(word) <= 100),
@@ -95,13 +145,21 @@ def _(spark, d):
     return K.wordpiece_vocabulary(docs(spark, d), 1000)
 
 
-@query("wordpiece_encode")
+_SEGMENTED = f"""WITH RECURSIVE {_WORDPIECE}, wk AS (SELECT token FROM wv UNION SELECT unnest(['[PAD]', '[UNK]', '[BOS]', '[EOS]', '[MASK]'])),
+lk AS (SELECT word, s, max(k) AS k FROM wy JOIN wk ON token = CASE WHEN s > 1 THEN '##' ELSE '' END || substr(word, s, k) GROUP BY word, s),
+g(word, i, out) AS (SELECT word, 1::BIGINT, []::VARCHAR[] FROM wc WHERE length(word) <= 100 UNION ALL SELECT g.word, g.i + lk.k, list_append(g.out, CASE WHEN g.i > 1 THEN '##' ELSE '' END || substr(g.word, g.i, lk.k)) FROM g JOIN lk ON lk.word = g.word AND lk.s = g.i),
+sg AS (SELECT word, array_to_string(out, ' ') AS pieces FROM g WHERE i = length(word) + 1),
+dw AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS ws FROM documents)),
+dt AS (SELECT doc_id, string_agg(coalesce(pieces, '[UNK]'), ' ' ORDER BY pos) AS tokens FROM dw LEFT JOIN sg USING (word) GROUP BY doc_id)"""
+
+
+@query("wordpiece_encode", f"{_SEGMENTED} SELECT doc_id, coalesce(tokens, '') AS tokens FROM documents LEFT JOIN dt USING (doc_id)")
 def _(spark, d):
     x = docs(spark, d)
     return x.select("doc_id", F.array_join(K.WordPiece.train(x).tokenize(F.col("text")), " ").alias("tokens"))
 
 
-@query("wordpiece_roundtrip")
+@query("wordpiece_roundtrip", f"{_SEGMENTED}, x AS (SELECT doc_id, replace(' ' || coalesce(tokens, ''), ' ##', '') AS x FROM documents LEFT JOIN dt USING (doc_id)) SELECT doc_id, CASE WHEN x LIKE ' %' THEN substr(x, 2) ELSE x END AS decoded FROM x")
 def _(spark, d):
     x = docs(spark, d)
     model = K.WordPiece.train(x)
@@ -145,13 +203,8 @@ tt AS (SELECT doc_id, unnest(tokens) AS token FROM tok), tc AS (SELECT token, co
 def tokenized(spark, d):
     """(doc_id, text, lang, tokens): lexer tokens, those outside a vocabulary of 1000 as [UNK]."""
     x = docs(spark, d)
-    known = frozenset(r.token for r in K.frequency_vocabulary(x, 1000, _LEX).collect())  # 995 at most
-
-    @F.pandas_udf("array<string>")
-    def mark(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda ts: None if ts is None else [t if t in known else "[UNK]" for t in ts])
-
-    return x.select("doc_id", "text", "lang", mark(F.regexp_extract_all("text", F.lit(_LEX), 0)).alias("tokens"))
+    known = [r.token for r in K.frequency_vocabulary(x, 1000, _LEX).collect()]  # 995 at most
+    return x.select("doc_id", "text", "lang", A.known_or(F.regexp_extract_all("text", F.lit(_LEX), 0), known, "[UNK]").alias("tokens"))
 
 
 @query("frequency_vocabulary", f"WITH {_VOCAB} SELECT token, n, id FROM fv")
@@ -250,27 +303,53 @@ def _(spark, d):
 
 @query(
     "metric_consistency",
-    f"""WITH e AS (SELECT doc_id, regexp_extract_all(substr(text, 1, floor(length(text) * 0.8)::INTEGER), '{_LEX}') AS p, regexp_extract_all(text, '{_LEX}') AS f FROM documents WHERE length(text) > 0),
+    f"""WITH e AS (SELECT doc_id, {_ids_sql('substr(text, 1, floor(length(text) * 0.8)::INTEGER)')} AS p, {_ids_sql('text')} AS f FROM documents WHERE length(text) > 0),
 s AS (SELECT doc_id, len(p) AS prefix_tokens, coalesce(nullif(list_position(list_transform(range(1, len(p) + 1), lambda i: p[i] IS NOT DISTINCT FROM f[i]), false), 0) - 1, len(p)) AS stable FROM e)
 SELECT doc_id, prefix_tokens::INTEGER AS prefix_tokens, stable::INTEGER AS stable, round(CASE WHEN prefix_tokens > 0 THEN stable / prefix_tokens ELSE 1 END, 6) AS share FROM s""",
 )
 def _(spark, d):
-    return M.consistency(docs(spark, d), lambda t: F.regexp_extract_all(t, F.lit(_LEX), 0))
+    return M.consistency(docs(spark, d), K.Bpe(_MERGES).encode)
+
+
+#: The turns of the conversations (DuckDB's edit distance counts bytes, so other characters than ASCII are ?), decoded from a vocabulary of 100 words.
+_LOSSY = f"""t AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS k, regexp_replace(text, '[^\\x00-\\x7f]', '?', 'g') AS text FROM conversations),
+e AS (SELECT k, unnest(ts) AS token, unnest(range(len(ts))) AS pos FROM (SELECT k, regexp_extract_all(text, '{_LEX}') AS ts FROM t)),
+v AS (SELECT token FROM e GROUP BY token ORDER BY count(*) DESC, token LIMIT 95),
+j AS (SELECT k, string_agg(CASE WHEN token IN (SELECT token FROM v) THEN token ELSE '[UNK]' END, ' ' ORDER BY pos) AS decoded FROM e GROUP BY k),
+x AS (SELECT text, coalesce(decoded, '') AS decoded, greatest(length(text), length(coalesce(decoded, ''))) AS n FROM t LEFT JOIN j USING (k) WHERE text IS NOT NULL)"""
+
+
+def _lossy(spark, d):
+    x = table(spark, d, "conversations").where("text is not null").select(F.regexp_replace("text", "[^\\x00-\\x7f]", "?").alias("text"))
+    known = [r.token for r in K.frequency_vocabulary(x, 100, _LEX).collect()]  # 95 at most
+    return x.select("text", F.array_join(A.known_or(F.regexp_extract_all("text", F.lit(_LEX), 0), known, "[UNK]"), " ").alias("decoded"))
+
+
+@query("metric_reconstruction", f"WITH {_LOSSY} SELECT count(*) AS texts, count(*) FILTER (text = decoded) AS perfect, sum(levenshtein(text, decoded))::BIGINT AS distance, round(sum(levenshtein(text, decoded)) / sum(length(text)), 6) AS cer FROM x")
+def _(spark, d):
+    return M.reconstruction(_lossy(spark, d))
 
 
-def _decoded(spark, d):
-    x, model = docs(spark, d), K.ByteLevel()
-    return x.select("doc_id", "text", model.decode(model.encode(F.col("text"))).alias("decoded"))
+@query("metric_reversibility", f"WITH {_LOSSY} SELECT round(avg(CASE WHEN n = 0 THEN 1 ELSE 1 - levenshtein(text, decoded) / n END), 6) AS similarity, round(avg((text = decoded)::INTEGER), 6) AS exact_ratio FROM x")
+def _(spark, d):
+    return M.reversibility(_lossy(spark, d))
+
+
+@query("metric_quality", f"WITH {_TOKENS}, w AS (SELECT text, tokens AS a, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS b FROM tok), n AS (SELECT sum(length(text)) AS c, sum(len(a)) AS na, sum(len(b)) AS nb FROM w), "
+       "va AS (SELECT count(*) AS v FROM (SELECT DISTINCT unnest(a) FROM w)), vb AS (SELECT count(*) AS v FROM (SELECT DISTINCT unnest(b) FROM w)), sh AS (SELECT count(*) AS v FROM (SELECT DISTINCT unnest(a) AS t FROM w) JOIN (SELECT DISTINCT unnest(b) AS t FROM w) USING (t)) "
+       "SELECT round(c / na, 6) AS chars_per_token, round(c / nb, 6) AS reference_chars_per_token, round((c / na) / (c / nb), 6) AS compression_vs_reference, va.v AS distinct_tokens, vb.v AS reference_distinct_tokens, round(sh.v / va.v, 6) AS shared_with_reference, round(na / nb, 6) AS tokens_vs_reference FROM n, va, vb, sh")
+def _(spark, d):
+    return M.quality(tokenized(spark, d), docs(spark, d).select("text", T.words(F.col("text")).alias("tokens")))
 
 
-@query("metric_reconstruction", "SELECT count(*) AS texts, count(*) AS perfect, 0::BIGINT AS distance, 0.0::DOUBLE AS cer FROM documents")
+@query("metric_rare_examples", f"SELECT word AS token, n FROM ({_WORD}) WHERE n <= 2 ORDER BY n, word LIMIT 20")
 def _(spark, d):
-    return M.reconstruction(_decoded(spark, d))
+    return M.rare_examples(docs(spark, d).select(T.words(F.col("text")).alias("tokens")))
 
 
-@query("metric_reversibility", "SELECT 1.0::DOUBLE AS similarity, 1.0::DOUBLE AS exact_ratio")
+@query("metric_unk_examples", f"WITH {_TOKENS}, u AS (SELECT doc_id, len(list_filter(tokens, lambda t: t = '[UNK]')) AS unk, len(tokens) AS tokens FROM tok) SELECT doc_id, unk, tokens, round(unk / tokens, 6) AS rate FROM u WHERE unk > 0 ORDER BY unk / tokens DESC, doc_id LIMIT 10")
 def _(spark, d):
-    return M.reversibility(_decoded(spark, d))
+    return M.unk_examples(tokenized(spark, d))
 
 
 @query("metric_compare", f"WITH {_TOKENS}, r AS (SELECT round(sum(length(text)) / sum(len(tokens)), 6) AS ratio_a, round(sum(length(text)) / sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))), 6) AS ratio_b FROM tok) SELECT ratio_a, ratio_b, round(ratio_a - ratio_b, 6) AS difference FROM r")

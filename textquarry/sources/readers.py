@@ -30,9 +30,9 @@ def bounded(df: DataFrame, text_key: str = "text", min_length: int = 0, max_leng
     return df if limit is None else df.limit(limit)
 
 
-def text_files(spark: SparkSession, paths, by_line: bool = False, strip: bool = False, skip_empty: bool = True, text_key: str = "text") -> DataFrame:
-    """One row for each file or line; .gz is read as it is."""
-    df = spark.read.text(paths, wholetext=not by_line).withColumnRenamed("value", text_key)
+def text_files(spark: SparkSession, paths, by_line: bool = False, strip: bool = False, skip_empty: bool = True, text_key: str = "text", separator: str | None = None) -> DataFrame:
+    """One row for each file or line (or what stands between separators); .gz is read as it is."""
+    df = spark.read.text(paths, wholetext=not by_line, lineSep=separator if by_line else None).withColumnRenamed("value", text_key)
     if strip:
         df = df.withColumn(text_key, F.trim(text_key))
     return df.where(F.length(text_key) > 0) if skip_empty else df
@@ -41,7 +41,10 @@ def text_files(spark: SparkSession, paths, by_line: bool = False, strip: bool =
 def jsonl(spark: SparkSession, path, text_key: str = "text", schema: T.StructType | str | None = None) -> DataFrame:
     """Rows of JSON lines; damaged lines, metadata lines and rows without a text are dropped."""
     reader = spark.read.option("mode", "DROPMALFORMED")
-    df = (reader.schema(schema) if schema is not None else reader).json(path)
+    if schema is not None:
+        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        reader = reader.schema(schema if "__meta__" in schema.names else T.StructType([*schema.fields, T.StructField("__meta__", T.StringType())]))
+    df = reader.json(path)
     if "__meta__" in df.columns:
         df = df.where(F.col("__meta__").isNull()).drop("__meta__")
     df = _text_column(df, text_key)

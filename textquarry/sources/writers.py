@@ -20,9 +20,10 @@ def write_file(spark: SparkSession, path: str, text: str) -> None:
 
 
 def jsonl(df: DataFrame, path: str, append: bool = False, metadata: dict | None = None) -> None:
+    """JSON lines in parallel parts; the metadata is a line {"__meta__": ...} in a part that sorts before the others."""
     df.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
     if metadata and not append:
-        write_file(df.sparkSession, f"{path}/_meta.json", json.dumps(metadata))
+        write_file(df.sparkSession, f"{path}/meta-00000.json", json.dumps({"__meta__": metadata}) + "\n")
 
 
 def txt(df: DataFrame, path: str, separator: str = "\n\n", text_col: str = "text", append: bool = False) -> None:
