@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tests.compare import differences
 from textquarry.llm import url_templates as X
 
@@ -38,6 +40,39 @@ def test_bad_section_among_many(spark):
         assert {got[k].template for k in range(40 * sections, len(urls))} == {"/*/*"}
 
 
+def test_deep_paths_count_whole(spark):
+    deep = "a/b/c/d"
+    urls = [f"http://e.org/{deep}/good/{k}" for k in range(40)] + [f"http://e.org/{deep}/x/spam/{k}" for k in range(100, 140)] + [f"http://e.org/{deep}/{k}/7" for k in range(200, 210)]
+    got = verdicts(spark, urls, [(k, 1, 0) for k in range(40)] + [(k, 0, 0) for k in range(100, 140)])
+    assert {got[k].template for k in range(40)} == {"/*/*/*/*/good/*"} and {got[k].template for k in range(40, 80)} == {"/*/*/*/*/x/spam/*"}
+    assert not any(got[k].rejected for k in range(40)) and all(got[k].rejected for k in range(40, 80))
+    assert {got[k].template for k in range(80, 90)} == {"/*/*/*/*/**"}
+
+
+def test_documents_of_a_column(spark):
+    df = spark.createDataFrame([(k, f"http://f.org/{'good' if k < 40 else 'bad'}/p{k}", k) for k in range(80)], "page_id long, url string, shows long")
+    labels = spark.createDataFrame([(k, int(k < 40), 0) for k in range(80)], LABELS)
+    got = {r.page_id: r.rejected for r in X.url_verdicts(df, labels, document=F.col("shows")).collect()}
+    assert sorted(k for k in got if got[k]) == list(range(40, 80))
+    assert not any(r.rejected for r in X.url_verdicts(df, labels).collect())  # no number in these paths
+
+
+def test_many_branches_same_as_sql(spark, tmp_path):
+    """Nodes of more than ``max_branches`` branches, and paths deeper than the tree."""
+    urls = [f"http://d.org/s{k // 40}/{k}" for k in range(1600)] + [f"http://d.org/a/b/c/d/e{k % 30}/{k}/f" for k in range(600)]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    bad = lambda k: k // 40 == 7 or k % 30 == 4 and k < 600 or k % 10 == 0
+    spark.createDataFrame([(k, int(not bad(k)), 0) for k in range(1600)], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    pages, labels = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("pages", "labels"))
+    import duckdb
+
+    c = duckdb.connect()
+    for name in ("pages", "labels"):
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = sorted(map(tuple, X.url_verdicts(pages, labels).collect()))
+    assert got == sorted(c.execute(X.ORACLES["op3_url_templates"]).fetchall()) and len({r[3] for r in got}) > 3
+
+
 def test_edges(spark):
     urls = [None, "", "no url", "http://h.com", "http://h.com/", "http://H.com//1///2.html#x", "http://h.com/a/b/c/d/e/f", "ftp://h.com/1", "http://h.com/a/b/c/d/e/f", "http://h.com/" + "x" * 100_000]
     got = verdicts(spark, urls, [(1, 0, 0), (1, 1, 0), (2, None, None), (None, 0, 1)])
