@@ -7,12 +7,13 @@ phrase doesn't count; a word counts once, with its heaviest entry. The score is
 with ``length_prior`` words added to each text so that one match in a tiny text isn't decisive by itself.
 
 The lexicon is the given one and, where labels are given, entries with high smoothed log-odds in a bounded sample of
-``max_labelled`` labelled documents. The threshold comes from the same sample, scored by lexicons fitted on the other
+``max_labelled`` labelled documents; ``max_weight`` bounds a fitted weight, so that no single word decides about a long text, and the number of entries
+has no bound but that sample's words. The threshold comes from the same sample, scored by lexicons fitted on the other
 half of it.
 
 Defined results: null text scores 0 and is not toxic; so does the empty text. Whole texts are scanned, however long.
 Rows are judged one by one, so repeated rows and ties get equal verdicts. Extra columns pass through the filter
-untouched, whatever their names. Without labels (or with labels of one kind) the given lexicon and
+untouched, whatever their names. Empty tables give empty results. Without labels (or with labels of one kind) the given lexicon and
 ``DEFAULT_THRESHOLD`` are used.
 """
 
@@ -151,7 +152,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([k] * len(total), pa.int32()), pa.array(list(total.values()), pa.int64())], ["entry", "k", "n"])
 
 
-def _lexicon(rows: list, halves: tuple[int, ...], min_docs: int, max_entries: int) -> dict[str, float]:
+def _lexicon(rows: list, halves: tuple[int, ...], min_docs: int, max_weight: float) -> dict[str, float]:
     get = lambda r, y: sum(r[f"n{2 * h + y}"] for h in halves)
     total = next((r for r in rows if r["entry"] == ""), None)
     bad, good = (get(total, 1), get(total, 0)) if total else (0, 0)
@@ -163,11 +164,10 @@ def _lexicon(rows: list, halves: tuple[int, ...], min_docs: int, max_entries: in
         a, b = get(r, 1), get(r, 0)
         if r["entry"] and a >= least and a / (a + b + 1) >= 0.7:
             found[r["entry"]] = (math.log((a + 0.5) / (bad + 1)) - math.log((b + 0.5) / (good + 1))) * a / (a + 1), a
-    top = sorted(found, key=lambda e: (-found[e][0] * math.log1p(found[e][1]), e))[:max_entries]
-    return {e: min(6.0, found[e][0]) for e in top if found[e][0] >= 2.0}
+    return {e: min(max_weight, w) for e, (w, _) in sorted(found.items()) if w >= 2.0}
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, seed_lexicon: dict[str, float] = SEED_LEXICON, exceptions: tuple[str, ...] = EXCEPTIONS, max_labelled: int = 10_000, min_docs: int = 3, max_entries: int = 3_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, *, seed_lexicon: dict[str, float] = SEED_LEXICON, exceptions: tuple[str, ...] = EXCEPTIONS, max_labelled: int = 10_000, min_docs: int = 3, max_weight: float = 6.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """A model from at most ``max_labelled`` labelled documents (those of the smallest hashed ids)."""
     ids = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(ids), "id")  # bounded by max_labelled
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, seed_lexicon: dict[str, float] =
         .where((F.col("entry") == "") | ((F.col("n1") + F.col("n3") >= min_docs) & (F.col("n1") + F.col("n3") > 2 * (F.col("n0") + F.col("n2")))))
         .collect()
     )
-    halves = [ToxicityModel(dict(_lexicon(rows, (h,), min_docs, max_entries)) | seed_lexicon, exceptions) for h in (0, 1)]
+    halves = [ToxicityModel(dict(_lexicon(rows, (h,), min_docs, max_weight)) | seed_lexicon, exceptions) for h in (0, 1)]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, seed_lexicon: dict[str, float] =
             yield pa.RecordBatch.from_arrays([pa.array([halves[1 - h].score(t)[0] for t, h in zip(texts, half)], pa.float64()), pa.array(ys, pa.int32())], ["score", "y"])
 
     pairs = sorted(((r["score"], r["y"]) for r in sample.mapInArrow(scored, "score double, y int").collect()), reverse=True)
-    lexicon = _lexicon(rows, (0, 1), min_docs, max_entries)
+    lexicon = _lexicon(rows, (0, 1), min_docs, max_weight)
     for word, weight in seed_lexicon.items():
         lexicon[word] = max(weight, lexicon.get(word, 0))
     return ToxicityModel(lexicon, exceptions, _threshold(pairs))
