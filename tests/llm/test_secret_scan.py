@@ -85,3 +85,16 @@ def test_secrets_inside_links_and_beside_other_scripts():
         "%s@example.org", "mailto:%s@example.org", "email=%s@example.org", "from:%s@example.org", "git@github.com:org/%s.git", "%s.example.com/x", "urn:isbn:%s", "é%s", "%sж",
     ):
         assert X.find_secrets(text % s, enc) == [], text
+
+
+def test_min_length_is_honoured():
+    enc = encoding()
+    text = "key = x9Qz7Lw2Vb4K and more"
+    assert not X.find_secrets(text, enc) and [text[a:b] for a, b, _ in X.find_secrets(text, enc, min_length=10)] == ["x9Qz7Lw2Vb4K"]
+    assert not X.find_secrets(text, enc, min_length=13)
+
+
+def test_empty_table_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "token = " + "x9Qz7Lw2Vb4K" * 2, "a", 3)], "doc_id long, text string, secret string, start int")
+    assert X.scan_secrets(df).count() == 1 and X.scan_secrets(df.limit(0)).count() == X.redact_secrets(df.limit(0)).count() == 0
+    assert [x.secret for x in X.redact_secrets(df).collect()] == ["a"]

@@ -9,8 +9,10 @@ digest's exact length in hexadecimal digits when a label such as sha256, md5, co
 them, or when no assignment to a key stands before them at all (a bare digest). A hexadecimal string that is assigned
 to a key (token = "...") is a secret whatever its length.
 
-Defined results: null and empty texts have no hits. Whole texts are scanned. Each occurrence is a hit, so a string
-that repeats gives several rows. ``redact_secrets`` puts ``[SECRET]`` in place of each hit, keeps all rows and
+What stands before a string (a label or a key with its sign) is looked for in the ``_BEFORE`` characters there: both end at the string, so more tells nothing.
+
+Defined results: null and empty texts have no hits. Whole texts are scanned, however long. Each occurrence is a hit, so a string
+that repeats gives several rows, and repeated rows give theirs each; ties don't arise. Extra columns don't matter. Empty tables give empty results. ``redact_secrets`` puts ``[SECRET]`` in place of each hit, keeps all rows and
 columns, and leaves null texts null.
 """
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -25,9 +28,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from textquarry.llm._util import table
 from textquarry.llm._vocab import VOCAB_PATH, encoding
 
-MIN_LENGTH, MAX_CHARS_PER_TOKEN = 16, 2.3
-_RUN = re.compile(r"[A-Za-z0-9+/_.=~@:%&?#-]{16,}", re.ASCII)
-_CORE = re.compile(r"[A-Za-z0-9+/_.~-]{16,}={0,2}", re.ASCII)
+MIN_LENGTH, MAX_CHARS_PER_TOKEN, _BEFORE = 16, 2.3, 48
+
+
+@lru_cache(maxsize=8)
+def _strings(min_length: int) -> tuple[re.Pattern, re.Pattern]:
+    """(unbroken runs, the strings in them) of at least so many characters."""
+    n = f"{{{max(1, min_length)},}}"
+    return re.compile(r"[A-Za-z0-9+/_.=~@:%&?#-]" + n, re.ASCII), re.compile(r"[A-Za-z0-9+/_.~-]" + n + "={0,2}", re.ASCII)
+
+
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _HEX = re.compile(r"[0-9a-fA-F]+")
 _DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
@@ -100,15 +110,15 @@ def _joins(c: str) -> bool:
     return c.isalnum() and not _UNSPACED.match(c)
 
 
-def _random_looking(s: str) -> bool:
+def _random_looking(s: str, min_length: int) -> bool:
     digits = sum(c.isdigit() for c in s)
     letters = sum(c.isalpha() for c in s)
-    if letters + digits < MIN_LENGTH or not letters:
+    if letters + digits < min_length or not letters:
         return False
     if digits >= 2:
         return True
     turns = sum(a.islower() and b.isupper() for a, b in zip(s, s[1:]))
-    return turns >= 3 and len(s) >= 20
+    return turns >= 3 and len(s) >= min_length + 4
 
 
 def find_secrets(text: str | None, enc, min_length: int = MIN_LENGTH, max_chars_per_token: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, float]]:
@@ -116,17 +126,18 @@ def find_secrets(text: str | None, enc, min_length: int = MIN_LENGTH, max_chars_
     found = []
     if not text or len(text) < min_length:
         return found
-    for run in _RUN.finditer(text):
+    runs, strings = _strings(min_length)
+    for run in runs.finditer(text):
         whole = run.group()
         # A run that goes on into other letters is part of a longer word, not a string of its own.
         if (run.start() and _joins(text[run.start() - 1])) or (run.end() < len(text) and _joins(text[run.end()])):
             continue
-        for m in (m for a, b in _tested(whole) for m in _CORE.finditer(whole, a, b)):
+        for m in (m for a, b in _tested(whole) for m in strings.finditer(whole, a, b)):
             s = m.group().rstrip(".~-/")
-            if len(s) < min_length or not _random_looking(s) or _UUID.fullmatch(s) or s.count("/") > 3 and s.startswith("/"):
+            if len(s) < min_length or not _random_looking(s, min_length) or _UUID.fullmatch(s) or s.count("/") > 3 and s.startswith("/"):
                 continue
             start = run.start() + m.start()
-            before = text[max(0, start - 48) : start]
+            before = text[max(0, start - _BEFORE) : start]
             if _HEX.fullmatch(s) and len(s) in _DIGEST_LENGTHS and (_DIGEST_LABEL.search(before) or not _ASSIGNED.search(before)):
                 continue
             rate = len(s) / len(enc.encode_ordinary(s))
