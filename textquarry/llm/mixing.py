@@ -10,12 +10,14 @@ digits of the hash, and the order of time into ranges of about equal numbers of
 sums are taken inside a bucket or range and offset by the sums of the earlier ones, which come from a small aggregate. A
 hot source is spread over all its buckets. Texts are read once; what is sorted and written holds ids, hashes and counts.
 
-Tokens are runs of characters other than space, tab, newline, carriage return and form feed.
+Tokens are counted by ``tokens``, a column of the table (of a tokenizer's counts) or an expression over it; without one they are runs of characters other than space,
+tab, newline, carriage return and form feed.
 
 Defined results: rows with a null id or null text can't be ordered or counted and are left out; a null source is a
 source of its own named "" ; an empty text has 0 tokens and is taken if its time comes; rows that repeat an id
 are separate documents, in order of their text. Sources with weight 0 or less are left out. Ties in time are
-broken by source, shuffle key, id and token count. Extra columns don't matter; ``mix_documents`` returns them unchanged.
+broken by source, shuffle key, id and token count. Texts of any length are counted whole. Empty tables give empty results.
+Extra columns don't matter; ``mix_documents`` returns them unchanged.
 """
 
 from __future__ import annotations
@@ -48,14 +50,14 @@ def _running(df: DataFrame, keys: list[str], bucket: str, order: list[str], valu
     return inside.join(before, [*keys, bucket]).withColumn(out, F.col("__before") + F.col("__in")).drop("__before", "__in")
 
 
-def schedule(docs: DataFrame, weights: dict[str, float] = WEIGHTS, default_weight: float = DEFAULT_WEIGHT, budget_share: float = BUDGET_SHARE, budget: int | None = None, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def schedule(docs: DataFrame, weights: dict[str, float] = WEIGHTS, default_weight: float = DEFAULT_WEIGHT, budget_share: float = BUDGET_SHARE, budget: int | None = None, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokens: Column | None = None) -> DataFrame:
     """(doc_id, source, n_tokens, finish, running_tokens) of the documents within the budget.
 
     ``budget`` is in tokens; without it, ``budget_share`` of all tokens is taken.
     """
     d = (
         docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-        .select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), n_tokens(F.col(text_col)).alias("n_tokens"), F.md5(F.col(text_col)).alias("tie"))
+        .select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), (n_tokens(F.col(text_col)) if tokens is None else F.greatest(F.coalesce(tokens.cast("long"), F.lit(0).cast("long")), F.lit(0).cast("long"))).alias("n_tokens"), F.md5(F.col(text_col)).alias("tie"))
         .withColumn("w", _weight(F.col("source"), weights, default_weight)).where("w > 0")
         .withColumn("key", F.md5(F.concat(F.lit(seed + ":"), F.col("doc_id").cast("string"))))
         .withColumn("bucket", F.substring("key", 1, HEX_DIGITS))
