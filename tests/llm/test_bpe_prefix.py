@@ -75,3 +75,31 @@ def test_query_against_tiktoken(spark, sf_dir):
     assert len(got) == len(texts)
     for x in got:
         assert x.ids == enc.encode_ordinary(texts[x.doc_id]) and x.exact and x.n_tokens == len(x.ids)
+
+
+def test_edits_of_a_table(spark):
+    enc, r = encoding(), random.Random(6)
+    texts = [None, "", "short text", "word " * 3000, "über alles 12345 \u4e00\u4e01  \n\n x"]
+    edits = [[(3, 1, "x")], [(0, 0, "new text")], None, [(7000, 5, "other"), (None, None, " end"), (0, 1, "")], [(10**6, 4, "?"), None, (-3, 2, "")]]
+    df = spark.createDataFrame([(i, t, e, "x") for i, (t, e) in enumerate(zip(texts, edits))], "doc_id long, text string, edits array<struct<at:int,remove:int,insert:string>>, ids string")
+    got = {x.doc_id: x for x in X.edit_table(df).collect()}
+    want = {0: None, 1: "new text", 2: "short text", 3: (lambda t: t[1:])("word " * 1400 + "other" + "word " * 1599 + " end"), 4: texts[4][2:] + "?"}
+    assert {i: x.text for i, x in got.items()} == want
+    assert all(x.ids == (None if x.text is None else enc.encode_ordinary(x.text)) for x in got.values())
+    assert got[3].encoded_bytes < 200 and got[2].encoded_bytes == 0
+    assert X.edit_table(df.limit(0)).count() == 0
+
+
+def test_query_conversations(spark, sf_dir):
+    """The whole table, turn by turn, against a fresh encoding of the conversation so far."""
+    enc, so_far = encoding(), {}
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()
+    got = {(x.conv_id, x.turn): x for x in X.bpe_prefix_conversations(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    ids = {}
+    for x in sorted(rows, key=lambda x: (x.conv_id, x.turn)):
+        so_far[x.conv_id] = so_far[x.conv_id] + "\n" + x.text if x.conv_id in so_far else x.text
+        g = got[x.conv_id, x.turn]
+        ids[x.conv_id] = ids.get(x.conv_id, [])[: g.kept] + g.new_ids
+        assert ids[x.conv_id] == enc.encode_ordinary(so_far[x.conv_id]) and g.n_tokens == len(ids[x.conv_id])
+    assert sum(x.kept for x in got.values()) > 0

@@ -11,7 +11,10 @@ before it and recomputes those after it only until the table is as before again,
 vocabulary's published pattern, as the merges don't cross its pieces; ``PrefixText`` keeps both levels and
 supports appends and edits of long texts by re-splitting near the change.
 
-Defined results: null text gives null ids, the empty text none. Ids of a row are those that tiktoken gives for the same file.
+``edit_table`` applies appends and edits to a table of texts, ``append_turns`` appends the turns of conversations one after the other, each re-encoding only what a change can reach.
+
+Defined results: null text gives null ids, the empty text none. Texts of any length are encoded whole, extra columns don't matter (``encode_documents`` keeps them), empty tables
+give empty results, and ties don't arise. Ids of a row are those that tiktoken gives for the same file.
 Repeated rows are encoded alike. Decoding replaces nothing: bytes that aren't UTF-8 raise no error in
 ``decode_bytes`` and become U+FFFD in ``decode``. Null ids decode to null, an unknown id is an error (ValueError) on its row's task.
 """
@@ -174,7 +177,7 @@ class PrefixText:
     """A text with the prefix tables of its pieces: appends and edits re-encode only what they can change."""
 
     def __init__(self, model: Bpe, text: str = ""):
-        self.model, self.pieces, self.tables, self.work = model, [], [], 0
+        self.model, self.pieces, self.tables, self.work, self.stands = model, [], [], 0, 0
         self.append(text)
 
     @property
@@ -199,6 +202,7 @@ class PrefixText:
         if k:
             k -= 1
             pos -= len(self.pieces[k])
+        self.stands = k  # pieces that this change leaves as they are
         tail, total = self.pieces[k:], "".join(self.pieces[k:])
         changed = total[: at - pos] + insert + total[at - pos + remove :]
         # Starts of old pieces after the change, in the new text's positions: there the old split is met again.
@@ -245,6 +249,66 @@ def encode_table(docs: DataFrame, vocab_path: str = VOCAB_PATH, id_col: str = "d
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, n_tokens int, exact boolean, ids array<int>")
 
 
+def edit_table(docs: DataFrame, vocab_path: str = VOCAB_PATH, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
+    """(doc_id, text, ids, encoded_bytes): each text after its edits, an array of structs (at, remove, insert) applied in order.
+
+    ``encoded_bytes`` counts the bytes that the edits had to encode anew. Null edits (or null fields: at the end, nothing, nothing) change nothing, places beyond
+    the text's end are its end; a null text stays null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = bpe(vocab_path)
+        for b in batches:
+            rows = []
+            for i, t, edits in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if t is None:
+                    rows.append((i, None, None, None))
+                    continue
+                x = PrefixText(model, t)
+                x.work = 0
+                for e in edits or []:
+                    if e is not None:
+                        size = sum(map(len, x.pieces))
+                        at = size if e["at"] is None else min(max(e["at"], 0), size)
+                        x.edit(at, min(max(e["remove"] or 0, 0), size - at), e["insert"] or "")
+                rows.append((i, x.text, x.ids(), x.work))
+            cols = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.list_(pa.int32()), pa.int64()))], ["doc_id", "text", "ids", "encoded_bytes"])
+
+    edits = F.col(edits_col).cast("array<struct<at:int,remove:int,insert:string>>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"), edits.alias("e")).mapInArrow(run, "doc_id long, text string, ids array<int>, encoded_bytes long")
+
+
+def append_turns(turns: DataFrame, vocab_path: str = VOCAB_PATH, id_col: str = "conv_id", order_col: str = "turn", text_col: str = "text", separator: str = "\n") -> DataFrame:
+    """(conv_id, turn, kept, new_ids, n_tokens): how the ids of a conversation go on with each turn.
+
+    The ids after a turn are the first ``kept`` of those before it and then ``new_ids``. Conversations stream through sorted tasks: a task holds one conversation's pieces at a
+    time. Rows with a null id are left out; a null text adds the separator only; equal turn numbers are in order of their text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = bpe(vocab_path)
+        now, x, sizes = None, None, []
+        for b in batches:
+            rows = []
+            for i, turn, t in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if x is None or i != now:
+                    now, x, sizes = i, PrefixText(model), []
+                    more = t or ""
+                else:
+                    more = separator + (t or "")
+                x.append(more)
+                kept = sum(sizes[: x.stands])
+                new = [model.walk(last) for last in x.tables[x.stands :]]
+                sizes[x.stands :] = map(len, new)
+                rows.append((i, turn, kept, [k for ids in new for k in ids], sum(sizes)))
+            cols = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32()))], ["conv_id", "turn", "kept", "new_ids", "n_tokens"])
+
+    x = turns.select(F.col(id_col).cast("long").alias("i"), F.col(order_col).cast("long").alias("o"), F.col(text_col).cast("string").alias("t")).where("i is not null")
+    return x.repartition("i").sortWithinPartitions("i", "o", "t").mapInArrow(run, "conv_id long, turn long, kept int, new_ids array<int>, n_tokens int")
+
+
 def decode_table(encoded: DataFrame, vocab_path: str = VOCAB_PATH, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """``encoded`` with its ids decoded into ``text_col``."""
 
@@ -271,5 +335,9 @@ def op8_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_bpe_prefix": op8_bpe_prefix}
+def bpe_prefix_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return append_turns(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {"op8_bpe_prefix": op8_bpe_prefix, "bpe_prefix_conversations": bpe_prefix_conversations}
 ORACLES: dict[str, str] = {}
