@@ -113,3 +113,14 @@ def test_edges(spark, shuffled):
 def test_many_copies(spark):
     df = spark.createDataFrame([(i, "the very same text in every row", 0, "") for i in range(3000)] + [(5000, "another one that nobody repeats", 0, "")], SCHEMA)
     assert sorted(x.doc_id for x in S.drop_near_duplicates(df).collect()) == [0, 5000]
+
+
+def test_split_anchors_agree(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    base = r.integers(0, 1 << 23, (3, S.BLOCKS))
+    fps = [(int(i), (base[i % 3] ^ np.where(r.random(S.BLOCKS) < 0.4, 1 << r.integers(0, 23, S.BLOCKS), 0)).tolist()) for i in range(300)]
+    df = spark.createDataFrame(fps, "id long, fp array<int>").repartition(3)
+    pairs = lambda: sorted(tuple(p) for p in S.candidate_pairs(df).collect())
+    whole = pairs()
+    monkeypatch.setattr(S, "SPLIT", 20)
+    assert len(whole) > 5000 and pairs() == whole

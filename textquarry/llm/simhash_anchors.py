@@ -160,23 +160,46 @@ def _replicate(block_threshold: int):
     return run
 
 
+def _anchor_counts(block_threshold: int):
+    """(anchor, n): how many rows each anchor will have, counted by each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        errors, _ = golay()
+        offsets, words = reach(block_threshold)
+        total = np.zeros(BLOCKS << 12, np.int64)
+        for b in batches:
+            fps = b.column(0).flatten().to_numpy().astype(np.int64).reshape(b.num_rows, BLOCKS)
+            for k in range(BLOCKS):
+                s = syndrome(fps[:, k])
+                n = offsets[s + 1] - offsets[s]
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offsets[s], n)
+                anchor = np.repeat(fps[:, k] ^ errors[s], n) ^ words[at]
+                total += np.bincount(k << 12 | anchor >> 11, minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["anchor", "n"])
+
+    return run
+
+
 def _compare(max_distance: int):
+    """Of one anchor (or a block of one): home members of the block's first part with all members of its second."""
+
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         ids, home = t.column("id").to_numpy(), t.column("home").to_numpy(zero_copy_only=False)
+        left_side, right_side = (np.flatnonzero(t.column(c).to_numpy(zero_copy_only=False)) for c in ("left", "right"))
         raw = np.frombuffer(b"".join(t.column("fp").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
         pad = np.zeros((len(ids), -raw.shape[1] % 8), dtype=np.uint8)
         fp = np.ascontiguousarray(np.hstack([raw, pad])).view(U64)
-        h = np.flatnonzero(home)
         left, right = [], []
-        step = max(1, 4_000_000 // max(1, len(ids)))
-        for i in range(0, len(h), step):
-            part = h[i : i + step]
-            d = np.zeros((len(part), len(ids)), dtype=np.uint8)
+        step = max(1, 4_000_000 // max(1, len(right_side)))
+        for i in range(0, len(left_side), step):
+            part = left_side[i : i + step]
+            d = np.zeros((len(part), len(right_side)), dtype=np.uint8)
             for c in range(fp.shape[1]):
-                d += np.bitwise_count(fp[part, c][:, None] ^ fp[:, c][None, :])
+                d += np.bitwise_count(fp[part, c][:, None] ^ fp[right_side, c][None, :])
             a, b = np.nonzero(d <= max_distance)
-            a = part[a]
+            a, b = part[a], right_side[b]
             # Of two home members each pair comes up twice: it counts once.
             keep = (ids[a] != ids[b]) & (~home[b] | (ids[a] < ids[b]))
             left.append(ids[a[keep]])
@@ -187,9 +210,29 @@ def _compare(max_distance: int):
     return run
 
 
+#: Members of an anchor from which it is compared in blocks, each of which is a task's work.
+SPLIT = 16_384
+
+
 def candidate_pairs(fps: DataFrame, max_distance: int = MAX_DISTANCE, block_threshold: int = BLOCK_THRESHOLD) -> DataFrame:
-    """Distinct (a, b), a < b, of (id, fp) rows that an anchor brings together within ``max_distance``."""
-    return fps.select("id", "fp").mapInArrow(_replicate(block_threshold), "anchor int, home boolean, id long, fp binary").groupBy("anchor").applyInArrow(_compare(max_distance), "a long, b long").distinct()
+    """Distinct (a, b), a < b, of (id, fp) rows that an anchor brings together within ``max_distance``.
+
+    The members of an anchor with more than ``SPLIT`` are spread over parts by their ids; the home members of each part meet the
+    members of each part in a block. Every pair of the anchor is compared, in one block.
+    """
+    rows = fps.select("id", "fp").mapInArrow(_replicate(block_threshold), "anchor int, home boolean, id long, fp binary")
+    counts = fps.select("fp").mapInArrow(_anchor_counts(block_threshold), "anchor int, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    large = checkpoint(counts.where(F.col("n") > SPLIT).select("anchor", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts")))  # at most 8 * 4096 rows
+    if large.isEmpty():
+        rows = rows.withColumns({"left": F.col("home"), "right": F.lit(True), "block": F.lit(0)})
+    else:
+        part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+        other = F.sequence(F.lit(0), F.col("parts") - 1)
+        as_ = lambda left: lambda q: F.struct((F.col("part") * F.col("parts") + q if left else q * F.col("parts") + F.col("part")).alias("block"), F.lit(left).alias("left"), F.lit(not left).alias("right"))
+        whole = F.array(F.struct(F.lit(0).alias("block"), F.col("home").alias("left"), F.lit(True).alias("right")))
+        places = F.when(F.col("parts").isNull(), whole).otherwise(F.concat(F.transform(other, as_(False)), F.when(F.col("home"), F.transform(other, as_(True))).otherwise(F.array().cast("array<struct<block:int,left:boolean,right:boolean>>"))))
+        rows = rows.join(F.broadcast(large), "anchor", "left").withColumn("part", part).withColumn("place", F.explode(places)).select("anchor", "home", "id", "fp", "place.*")
+    return rows.groupBy("anchor", "block").applyInArrow(_compare(max_distance), "a long, b long").distinct()
 
 
 def _jaccard(a: str, b: str):
