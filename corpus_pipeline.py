@@ -8,7 +8,9 @@
 5. byte-level BPE: the documents with their token ids.
 
 Null texts pass stages 1 to 3 (nothing in them to reject), are left out by stage 4, which can't count them, and so is
-any row with a null id.
+any row with a null id. Empty texts pass all stages as copies of each other, of which stage 2 keeps the smallest id. Texts of any length
+are read whole. Rows that repeat an id and text go or stay together. Extra columns pass through, whatever their names (the ids' column
+then gets another name). Empty tables give empty tables. A stage's folder goes once the next stage is written; the last one stays.
 """
 
 from __future__ import annotations
@@ -57,11 +59,18 @@ STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", drop_near_copies), ("
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         out = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        if k:
+            _remove(spark, done)
+        docs, done = spark.read.parquet(out), out
     return docs
