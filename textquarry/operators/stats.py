@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textquarry.functions import arrow as A, text as T
@@ -93,3 +95,19 @@ def report(df: DataFrame, text_col: str = "text") -> str:
     for title, counts, key in (("Words", word_counts(df, text_col), "word"), ("Characters", char_counts(df, text_col), "ch")):
         lines += ["", f"## {title}", "", "| item | count |", "| --- | --- |", *(f"| {r[key]!r} | {r['n']} |" for r in top(counts, 20, key).collect())]
     return "\n".join(lines) + "\n"
+
+
+def top_chars(df: DataFrame, k: int = 10, text_col: str = "text") -> DataFrame:
+    """(ch, n): the k most frequent characters."""
+    return top(char_counts(df, text_col), k, "ch")
+
+
+def save_stats(df: DataFrame, path: str, text_col: str = "text") -> dict:
+    """The corpus profile as JSON: sizes, and the 20 most frequent words and 10 most frequent characters."""
+    from textquarry.sources.writers import write_file
+
+    out = dataset_stats(df, text_col).first().asDict()
+    out["top_words"] = {r.word: r.n for r in top(word_counts(df, text_col), 20, "word").collect()}
+    out["top_chars"] = {r.ch: r.n for r in top_chars(df, 10, text_col).collect()}
+    write_file(df.sparkSession, path, json.dumps(out, indent=1, ensure_ascii=False))
+    return out

@@ -470,6 +470,7 @@ def language_router(names: dict[str, str], default: str) -> Router:
     return Router("language", list(names.items()), default)
 
 
+LOADERS: dict[str, type] = {"byte_level": ByteLevel, "bpe": Bpe, "wordpiece": WordPiece, "unigram": Unigram, "mixed": Mixed}
 BUILDERS: dict[str, Callable] = {"byte_level": lambda df, **k: ByteLevel(**k), "bpe": Bpe.train, "wordpiece": WordPiece.train, "unigram": Unigram.train}
 
 
@@ -481,4 +482,4 @@ def build(kind: str, df: DataFrame | None = None, **parameters):
 
 
 def load(saved: str):
-    return {"byte_level": ByteLevel, "bpe": Bpe, "wordpiece": WordPiece, "unigram": Unigram, "mixed": Mixed}[json.loads(saved)["kind"]].load(saved)
+    return LOADERS[json.loads(saved)["kind"]].load(saved)

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textquarry.functions.shared import checkpoint
+from textquarry.operators import sentencepiece as _sentencepiece  # noqa: F401  it registers itself
 from textquarry.operators import clean as C, code as K, dedup as D, filters as FL, metrics as M, sampling as S, tokenizers as TK
 from textquarry.sources import readers as R
 

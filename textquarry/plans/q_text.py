@@ -195,3 +195,8 @@ def _(spark, d):
 @query("normalize_nfkc", "SELECT doc_id, regexp_replace(nfc_normalize(text), '[\\x00-\\x1f\\x7f-\\x9f]', '', 'g') AS text FROM documents")
 def _(spark, d):
     return docs(spark, d).select("doc_id", U.normalize(F.col("text"), "nmt_nfkc").alias("text"))
+
+
+@query("top_chars", f"SELECT ch, n FROM {_CHARS} ORDER BY n DESC, ch LIMIT 10")
+def _(spark, d):
+    return S.top_chars(docs(spark, d))

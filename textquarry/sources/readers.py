@@ -252,3 +252,28 @@ def exclude_paths(df: DataFrame, patterns: list[str], column: str = "source_path
         re.compile(p)
         df = df.where(~F.col(column).rlike(p))
     return df
+
+
+def count_lines(spark: SparkSession, paths) -> int:
+    """Lines of text files, counted where they are."""
+    return spark.read.text(paths).count()
+
+
+def chunks(spark: SparkSession, paths, size: int = 1 << 20) -> DataFrame:
+    """(path, chunk, content): files as pieces of ``size`` bytes; a task reads one file piece by piece and never holds it whole."""
+    files = spark.read.format("binaryFile").load(paths).select("path")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                where, name = fs.FileSystem.from_uri(path)
+                with where.open_input_stream(name, compression=None) as f:
+                    k = 0
+                    while part := f.read(size):
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([k], pa.int64()), pa.array([part], pa.binary())], ["path", "chunk", "content"])
+                        k += 1
+
+    return files.mapInArrow(run, "path string, chunk long, content binary")
