@@ -48,15 +48,18 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
 
 
 def test_odd_documents(spark, tmp_path):
-    """Nulls, empty and repeated rows, and an empty table pass all stages."""
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    """Nulls, empty, long and repeated rows, columns with names that the stages use, and an empty table pass all stages."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, token_ids string, bucket int, __tie string, id long, toxic_mark string"
     rows = [(1, None, None, None, None), (None, "text without an id", "en", "s", 18), (2, "", "en", "s", 0), (3, "a plain text", "en", None, 12), (3, "a plain text", "en", None, 12), (4, "word " * 50_000, "en", "s", 250_000)]
     for name, data in (("some", rows), ("none", [])):
         d = f"{tmp_path}/{name}"
-        spark.createDataFrame(data, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(*r, "t", k, "u", k, "v") for k, r in enumerate(data)], schema).write.parquet(f"{d}/documents.parquet")
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
-        got = P.run(spark, d).collect()
-        assert {x.doc_id for x in got} <= {2, 3, 4} and (name == "none") == (not got)
+        out = P.run(spark, d)
+        assert out.columns[:-1] == [c.split()[0] for c in schema.split(", ")]
+        got = sorted((x.doc_id, x.token_ids, x.bucket, x[-1] == []) for x in out.collect())
+        # The long text would pass the budget of 80 % of the tokens.
+        assert got == ([(2, "t", 2, True), (3, "t", 3, False), (3, "t", 4, False)] if data else [])
 
 
 def test_hash_order_is_known():
