@@ -134,7 +134,7 @@ def _(spark, d):
 def _(spark, d):
     path = _folder(spark)
     WR.csv(docs(spark, d), path, columns=["doc_id", "text", "lang"])
-    return R.bounded(R.csv(spark, path, columns=["doc_id", "lang"])).select(F.col("doc_id").cast("long"), "text", "lang")
+    return R.bounded(R.csv(spark, path, columns=["doc_id", "lang"], quoted_empty=True)).select(F.col("doc_id").cast("long"), "text", "lang")
 
 
 @query("txt_roundtrip", "SELECT text FROM documents WHERE text <> ''")

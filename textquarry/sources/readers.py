@@ -56,8 +56,10 @@ def json_documents(spark: SparkSession, path, text_key: str = "text") -> DataFra
     return _text_column(spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").json(path), text_key)
 
 
-def csv(spark: SparkSession, path, text_key: str = "text", delimiter: str = ",", encoding: str = "UTF-8", columns: list[str] | None = None, header: bool = True) -> DataFrame:
-    df = spark.read.options(header=header, sep=delimiter, encoding=encoding, multiLine=True, inferSchema=True, quote='"', escape='"').csv(path)
+def csv(spark: SparkSession, path, text_key: str = "text", delimiter: str = ",", encoding: str = "UTF-8", columns: list[str] | None = None, header: bool = True, quoted_empty: bool = False) -> DataFrame:
+    """With ``quoted_empty`` a value "" is an empty text, and only one without quotes is null; line ends within texts are left as they are."""
+    own = {"nullValue": "\ufffe\x00null", "lineSep": "\n"} if quoted_empty else {}  # what stands for null while reading, in no file
+    df = spark.read.options(header=header, sep=delimiter, encoding=encoding, multiLine=True, inferSchema=True, quote='"', escape='"', **own).csv(path)
     df = _text_column(df, text_key)
     return df.select(*[c for c in dict.fromkeys([*columns, text_key]) if c in df.columns]) if columns else df
 

@@ -31,8 +31,9 @@ def txt(df: DataFrame, path: str, separator: str = "\n\n", text_col: str = "text
 
 
 def csv(df: DataFrame, path: str, delimiter: str = ",", columns: list[str] | None = None, append: bool = False, header: bool = True) -> None:
+    """White space at the ends of a value stays; an empty text is written as "", a null as nothing."""
     kept = df.select(*[c for c in columns if c in df.columns]) if columns else df
-    kept.write.mode("append" if append else "overwrite").options(sep=delimiter, header=header, quote='"', escape='"').csv(path)
+    kept.write.mode("append" if append else "overwrite").options(sep=delimiter, header=header, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def parquet(df: DataFrame, path: str, append: bool = False) -> None:
