@@ -18,3 +18,9 @@ def test_csv_keeps_every_text(spark, tmp_path):
     WR.csv(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2), str(tmp_path / "c"), columns=["doc_id", "text", "lang"])
     got = R.bounded(R.csv(spark, str(tmp_path / "c"), columns=["doc_id", "lang"], quoted_empty=True)).select(F.col("doc_id").cast("long"), "text", "lang")
     assert sorted(tuple(r) for r in got.collect()) == rows
+
+
+def test_entities_without_their_end(spark):
+    texts = ["a &amp", "b&amp;c &copy;2 &copy=1 &am", "&quot;&middot;&#65;&#x42; &nosuch; &notit;", "&&&amp;amp;", None]
+    x = spark.createDataFrame(list(enumerate(texts)), "k long, text string").select("k", U.fix(F.col("text"), nfc=False, accents=False, ended=True).alias("x"))
+    assert [r.x for r in x.orderBy("k").collect()] == ["a &amp", "b&c ©2 &copy=1 &am", '"·AB &nosuch; &notit;', "&&&amp;", None]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import html.entities
+import re
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
@@ -32,6 +34,19 @@ def _unescaped(t: pa.Array) -> pa.Array:
     return pc.replace_with_mask(t, some, pa.array([html.unescape(x) for x in t.filter(some).to_pylist()], pa.string())) if pc.any(some).as_py() else t
 
 
+_ENTITY = re.compile(r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def _ended(x: str) -> str:
+    return _ENTITY.sub(lambda m: html.unescape(m.group()) if m.group(1)[0] == "#" or m.group(1) + ";" in html.entities.html5 else m.group(), x)
+
+
+def _unescaped_ended(t: pa.Array) -> pa.Array:
+    """Only entities that a semicolon ends: a text cut within one keeps what is left of it."""
+    some = pc.fill_null(pc.match_substring(t, "&"), False)
+    return pc.replace_with_mask(t, some, pa.array([_ended(x) for x in t.filter(some).to_pylist()], pa.string())) if pc.any(some).as_py() else t
+
+
 def _without_accents(t: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(pc.utf8_normalize(t, form="NFKD"), pattern=_class(False), replacement="")
 
@@ -56,10 +71,10 @@ def _arrow(steps: list[Callable[[pa.Array], pa.Array]], text: Column) -> Column:
     return run(text)
 
 
-def fix(text: Column, fix_html: bool = True, nfc: bool = True, accents: bool = True) -> Column:
-    """HTML entities to characters, then NFC, then NFKD without combining marks."""
+def fix(text: Column, fix_html: bool = True, nfc: bool = True, accents: bool = True, ended: bool = False) -> Column:
+    """HTML entities to characters, then NFC, then NFKD without combining marks. ``ended``: only entities with their semicolon, not &amp as browsers have it."""
     # NFKD gives the same with and without NFC before it.
-    steps = [(fix_html, _unescaped), (nfc and not accents, _composed("NFC")), (accents, _without_accents)]
+    steps = [(fix_html, _unescaped_ended if ended else _unescaped), (nfc and not accents, _composed("NFC")), (accents, _without_accents)]
     return _arrow([f for on, f in steps if on], text)
 
 
