@@ -24,3 +24,31 @@ def test_entities_without_their_end(spark):
     texts = ["a &amp", "b&amp;c &copy;2 &copy=1 &am", "&quot;&middot;&#65;&#x42; &nosuch; &notit;", "&&&amp;amp;", None]
     x = spark.createDataFrame(list(enumerate(texts)), "k long, text string").select("k", U.fix(F.col("text"), nfc=False, accents=False, ended=True).alias("x"))
     assert [r.x for r in x.orderBy("k").collect()] == ["a &amp", "b&c ©2 &copy=1 &am", '"·AB &nosuch; &notit;', "&&&amp;", None]
+
+
+def test_batches_in_parts(spark):
+    """What a function holds beside its batch is bounded, whatever the batch's rows; cut anywhere, the results are the same."""
+    sizes = np.array([3, 0, 9, 2, 2, 50, 1])
+    edges = A._edges(sizes, 10)
+    assert edges == [0, 2, 3, 5, 6, 7] and all(y - x == 1 or sizes[x:y].sum() <= 10 for x, y in zip(edges, edges[1:]))
+    lists = pa.array([["a"] * 300_000, None, ["b"] * 400_000, [], ["c"]])
+    seen = []
+    got = A.in_parts(lists, lambda v: (seen.append(len(v.flatten())), v)[1])
+    assert got.equals(lists) and max(seen) <= A.ITEMS and len(seen) > 1
+    text = "é" * (A.BYTES // 2 + 1000) + "\U0001f600" * (A.BYTES // 8)
+    x = spark.createDataFrame([(0, text), (1, None)], "k long, text string")
+    assert {r.ch: r.n for r in A.char_counts(x, "text").collect()} == Counter(text)
+    assert {r.byte: r.n for r in A.byte_counts(x, "text").collect()} == Counter(text.encode())
+
+
+def test_known_tokens_need_no_python(spark):
+    x = spark.createDataFrame([("a b c",), ("",), (None,)], "text string").select(A.known_or(T.words(F.col("text")), ["a", "c"], "?").alias("x"))
+    assert [r.x for r in x.collect()] == [["a", "?", "c"], [], None]
+    assert "Python" not in x._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_have_a_limit_in_bytes(spark):
+    from textquarry.plans.ship import BATCH_BYTES, bound_batches
+
+    bound_batches(spark)
+    assert 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= BATCH_BYTES

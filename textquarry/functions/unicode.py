@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
+from textquarry.functions.arrow import in_parts
+
 
 @lru_cache(maxsize=2)
 def _class(control: bool) -> str:
@@ -62,12 +64,15 @@ def _composed(form: str) -> Callable[[pa.Array], pa.Array]:
 
 
 def _arrow(steps: list[Callable[[pa.Array], pa.Array]], text: Column) -> Column:
-    @F.arrow_udf("string")
-    def run(t: pa.Array) -> pa.Array:
+    def part(t: pa.Array) -> pa.Array:
         for step in steps:
             t = step(t)
         return t
 
+    @F.arrow_udf("string")
+    def run(t: pa.Array) -> pa.Array:
+        return in_parts(t, part)
+
     return run(text)
 
 

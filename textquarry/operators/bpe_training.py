@@ -2,12 +2,13 @@
 
 Where the pieces fit ``DRIVER_BYTES`` the driver does all merges; beyond that the pieces stay a table: each round counts
 pairs in the tasks, the driver sees these counts only, and the tasks apply the merges that no other merge of the
-round can overtake. Both give the same merges.
+round can overtake. The table is written packed, and again after every ``SNAPSHOT`` merges; between, the tasks repeat the merges since. Both give the same merges.
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from textquarry.functions.shared import checkpoint
 
-#: Bytes of distinct pieces up to which the driver merges by itself.
-DRIVER_BYTES = 1 << 29
+#: Bytes of distinct pieces up to which the driver merges by itself; it holds about 40 times as many.
+DRIVER_BYTES = 1 << 23
+#: Symbols of a packed row, merges after which the table is written again, symbols up to which pairs are counted in a table.
+PACKED, SNAPSHOT, TABLE = 1 << 20, 32, 2048
 _END = -1
 
 
@@ -45,6 +48,20 @@ def pairs_of(symbols: np.ndarray, weight: np.ndarray, at: np.ndarray | None = No
     return code, np.rint(np.bincount(place, weights=n, minlength=len(code))).astype(np.int64)
 
 
+def all_pairs(symbols: np.ndarray, weight: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """``pairs_of`` all places, by a table for few kinds of symbols: nothing is sorted, and some places at a time."""
+    if kinds > TABLE:
+        return pairs_of(symbols, weight)
+    total = np.zeros(kinds * kinds, np.int64)
+    for k in range(0, len(symbols) - 1, PACKED):
+        left, right = symbols[k : k + PACKED], symbols[k + 1 : k + PACKED + 1]
+        left = left[: len(right)]
+        ok = (left != _END) & (right != _END)
+        total += np.rint(np.bincount(left[ok].astype(np.int64) * kinds + right[ok], weights=weight[k : k + len(right)][ok], minlength=kinds * kinds)).astype(np.int64)
+    at = np.flatnonzero(total)
+    return (at // kinds) << 32 | at % kinds, total[at]
+
+
 def apply(symbols: np.ndarray, weight: np.ndarray, left: int, right: int, new: int, changed=None) -> tuple[np.ndarray, np.ndarray]:
     """The pair merged from left to right in every piece. ``changed(codes, counts)`` is told which pairs go and come."""
     at = np.flatnonzero((symbols[:-1] == left) & (symbols[1:] == right))
@@ -91,8 +108,11 @@ class Symbols:
 
 
 def on_driver(pieces: pa.Table, merges: int, least: int) -> list[tuple[bytes, bytes]]:
+    return _on_driver(*flat(pieces.column("piece").combine_chunks(), pieces.column("n").to_numpy()), merges, least)
+
+
+def _on_driver(symbols: np.ndarray, weight: np.ndarray, merges: int, least: int) -> list[tuple[bytes, bytes]]:
     s = Symbols()
-    symbols, weight = flat(pieces.column("piece").combine_chunks(), pieces.column("n").to_numpy())
     counts: dict[int, int] = {}
     heap: list[tuple] = []
 
@@ -102,7 +122,7 @@ def on_driver(pieces: pa.Table, merges: int, least: int) -> list[tuple[bytes, by
             if now > 0:
                 heapq.heappush(heap, (-now, s.of[c >> 32], s.of[c & 0xFFFFFFFF], c))
 
-    changed(*pairs_of(symbols, weight))
+    changed(*all_pairs(symbols, weight, 256))
     while heap and len(s.merges) < merges:
         n, _, _, code = heapq.heappop(heap)
         if counts.get(code, 0) != -n:
@@ -113,22 +133,31 @@ def on_driver(pieces: pa.Table, merges: int, least: int) -> list[tuple[bytes, by
     return s.merges
 
 
-def distributed(pieces: DataFrame, merges: int, least: int) -> list[tuple[bytes, bytes]]:
-    """The same merges; the pieces (piece, n) stay in the tasks, and one row for each distinct pair reaches the driver in a round."""
-    s = Symbols()
+_SCHEMA = "size long, symbols binary, n binary"
+
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs_of(*_unpacked(b))], ["pair", "n"])
+def _merged(b: pa.RecordBatch, steps: list[tuple[int, int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The symbols and weights of each packed row, after the merges."""
+    for text, n in zip(b.column(1), b.column(2)):
+        symbols, weight = _unpacked(text.as_py(), n.as_py())
+        for left, right, new in steps:
+            symbols, weight = apply(symbols, weight, left, right, new)
+        yield symbols, weight
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield _packed(*flat(b.column(0), b.column(1).to_numpy()))
 
-    state = checkpoint(pieces.select("piece", F.col("n").cast("long")).mapInArrow(packed, "symbols binary, weight binary"))
+def distributed(state: DataFrame, merges: int, least: int) -> list[tuple[bytes, bytes]]:
+    """The same merges; the packed pieces stay in the tasks, and one row for each distinct pair reaches the driver in a round."""
+    s, since = Symbols(), []
     while len(s.merges) < merges:
+
+        def pairs(batches: Iterator[pa.RecordBatch], steps=tuple(since), kinds=len(s.of)) -> Iterator[pa.RecordBatch]:
+            total: dict[int, int] = {}
+            for b in batches:
+                for symbols, weight in _merged(b, steps):
+                    for code, n in zip(*(x.tolist() for x in all_pairs(symbols, weight, kinds))):
+                        total[code] = total.get(code, 0) + n
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["pair", "n"])
+
         rows = state.mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, least)).toArrow()
         counts = {(int(p) >> 32, int(p) & 0xFFFFFFFF): int(n) for p, n in zip(rows.column("pair").to_numpy(), rows.column("n").to_numpy())}
         batch = []
@@ -146,32 +175,51 @@ def distributed(pieces: DataFrame, merges: int, least: int) -> list[tuple[bytes,
                 break
         if not batch:
             break
-        steps = [b[:3] for b in batch]
+        since += [b[:3] for b in batch]
+        if len(since) >= SNAPSHOT and len(s.merges) < merges:
 
-        def merged(batches: Iterator[pa.RecordBatch], steps=steps) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                symbols, weight = _unpacked(b)
-                for left, right, new in steps:
-                    symbols, weight = apply(symbols, weight, left, right, new)
-                yield _packed(symbols, weight)
-
-        state = checkpoint(state.mapInArrow(merged, "symbols binary, weight binary"))
+            def written(batches: Iterator[pa.RecordBatch], steps=tuple(since)) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    for symbols, weight in _merged(b, steps):
+                        yield _packed(symbols, weight)
+
+            state, since = checkpoint(state.mapInArrow(written, _SCHEMA)), []
     return s.merges
 
 
 def _packed(symbols: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([symbols.astype("<i4").tobytes()], pa.binary()), pa.array([weight.astype("<i8").tobytes()], pa.binary())], ["symbols", "weight"])
-
-
-def _unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(b.column(0).to_pylist()), "<i4"), np.frombuffer(b"".join(b.column(1).to_pylist()), "<i8")
+    """One row: its bytes unpacked, the symbols in two bytes each where they fit, and one count for each piece, compressed."""
+    ends = symbols == _END
+    kind = "<u2" if symbols.max(initial=0) < 0xFFFF else "<i4"
+    data = zlib.compress(symbols.astype(kind).tobytes(), 1)
+    return pa.RecordBatch.from_arrays([pa.array([len(symbols) - int(ends.sum())], pa.int64()), pa.array([kind.encode() + data], pa.binary()), pa.array([zlib.compress(weight[ends].astype("<i8").tobytes(), 1)], pa.binary())], ["size", "symbols", "n"])
+
+
+def _unpacked(data: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    kind = data[:3].decode()
+    symbols = np.frombuffer(zlib.decompress(data[3:]), kind).astype(np.int32)
+    if kind == "<u2":
+        symbols[symbols == 0xFFFF] = _END
+    ends = np.flatnonzero(symbols == _END)
+    return symbols, np.repeat(np.frombuffer(zlib.decompress(n), "<i8"), np.diff(ends, prepend=-1))
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for b in batches:
+        if b.num_rows:
+            held.append(flat(b.column(0), b.column(1).to_numpy()))
+        if sum(len(x) for x, _ in held) >= PACKED:
+            yield _packed(*map(np.concatenate, zip(*held)))
+            held = []
+    if held:
+        yield _packed(*map(np.concatenate, zip(*held)))
 
 
 def train(pieces: DataFrame, merges: int, least: int, driver_bytes: int = DRIVER_BYTES) -> list[tuple[bytes, bytes]]:
-    pieces = checkpoint(pieces)
-    size = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
+    state = checkpoint(pieces.where("piece is not null").select("piece", F.col("n").cast("long")).mapInArrow(_pack, _SCHEMA))
+    size = state.agg(F.sum("size")).first()[0] or 0
     if size <= driver_bytes:
-        return on_driver(pieces.select("piece", F.col("n").cast("long").alias("n")).toArrow(), merges, least)
-    return distributed(pieces, merges, least)
+        rows = [_unpacked(r.symbols, r.n) for r in state.collect()]
+        return _on_driver(*map(np.concatenate, zip(*rows)), merges, least) if rows else []
+    return distributed(state, merges, least)
